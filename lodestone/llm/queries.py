@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, url_filter
+from lodestone.llm import mixing, secret_scan, url_filter, warc
 from lodestone.session import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -15,12 +15,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_url_filter": op4_url_filter}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("parts")
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op8_secret_scan": op8_secret_scan}
 
 ORACLES: dict[str, str] = {}
 
@@ -42,6 +51,18 @@ SELECT page_id, host, path,
 FROM parts
 """
 
+ORACLES["op3_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p
+)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
 #: Sizes, caps and seats as the operator defines them, by the plainest route: every quotient is ranked.
 ORACLES["op2_mixing"] = r"""
 WITH RECURSIVE sized AS (
