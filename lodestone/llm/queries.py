@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality, secret_scan, url_filter, warc
+from lodestone.llm import mixing, quality, secret_scan, setsketch, url_filter, warc
 from lodestone.session import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -29,11 +29,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("parts")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op8_secret_scan": op8_secret_scan}
+QUERIES = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan}
 
 ORACLES: dict[str, str] = {}
 
