@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality, secret_scan, setsketch, url_filter, warc
+from lodestone.llm import mixing, quality, secret_scan, setsketch, token_files, url_filter, warc
 from lodestone.session import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path)
+    return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,7 +48,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("parts")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan}
+QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan}
 
 ORACLES: dict[str, str] = {}
 
