@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality, secret_scan, setsketch, token_files, url_filter, warc
+from lodestone.llm import mixing, pivots, quality, secret_scan, setsketch, token_files, url_filter, warc
 from lodestone.session import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -36,6 +36,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("parts")
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan}
+QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op5_pivot_index": op5_pivot_index, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan}
 
 ORACLES: dict[str, str] = {}
 
