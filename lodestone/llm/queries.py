@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, pivots, quality, secret_scan, setsketch, token_files, url_filter, warc
+from lodestone.llm import decontaminate, line_templates, mixing, pivots, quality, secret_scan, setsketch, token_files, url_filter, warc
 from lodestone.session import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -22,6 +22,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"), F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +61,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("parts")
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op5_pivot_index": op5_pivot_index, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan}
+QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_url_filter": op4_url_filter, "op5_pivot_index": op5_pivot_index, "op6_quality_rules": op6_quality_rules, "op7_setsketch": op7_setsketch, "op8_secret_scan": op8_secret_scan,
+    "op9_line_templates": op9_line_templates, "op10_bm25_decontamination": op10_bm25_decontamination}
 
 ORACLES: dict[str, str] = {}
 
@@ -86,6 +96,37 @@ SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
 FROM m
 """
 
+#: The template tree with plain strings: leaves by number of tokens and leading tokens, tokens kept where two documents share them.
+ORACLES["op9_line_templates"] = r"""
+WITH docs AS (
+  SELECT DISTINCT doc_id, text FROM documents
+), cut AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs WHERE text IS NOT NULL
+), toks AS (
+  SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM cut
+), lines AS (
+  SELECT doc_id, text, pos, t, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf FROM toks WHERE len(t) > 0
+), words AS (
+  SELECT doc_id, text, pos, leaf, unnest(t) AS tok, generate_subscripts(t, 1) AS idx FROM lines
+), support AS (
+  SELECT leaf, idx, tok FROM words GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= 2
+), template AS (
+  SELECT w.doc_id, w.text, w.pos, w.leaf, string_agg(coalesce(s.tok, '<*>'), ' ' ORDER BY w.idx) AS template,
+         count(s.tok) FILTER (s.tok <> '<*>') AS fixed, count(*) AS n
+  FROM words w LEFT JOIN support s USING (leaf, idx, tok) GROUP BY ALL
+), recurring AS (
+  SELECT template, leaf, min((coalesce(doc_id, 9223372036854775807), md5(text), pos)) AS first_seen FROM template
+  WHERE fixed * 2 >= n GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= 2
+), dropped AS (
+  SELECT t.doc_id, t.text, list(t.pos ORDER BY t.pos) AS d FROM template t JOIN recurring r ON t.template = r.template AND t.leaf = r.leaf
+  WHERE (coalesce(t.doc_id, 9223372036854775807), md5(t.text), t.pos) <> r.first_seen GROUP BY ALL
+)
+SELECT o.doc_id, CASE WHEN o.text IS NULL THEN 0 ELSE len(string_split(o.text, chr(10))) END::BIGINT AS n_lines,
+       coalesce(len(d.d), 0)::BIGINT AS n_dropped, coalesce(array_to_string(d.d, ','), '') AS dropped,
+       md5(array_to_string(list_transform(list_filter(list_zip(string_split(o.text, chr(10)), range(0, len(string_split(o.text, chr(10))))), lambda z: NOT list_contains(coalesce(d.d, []), z[2])), lambda z: z[1]), chr(10))) AS kept_md5
+FROM documents o LEFT JOIN dropped d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND o.text = d.text
+"""
+
 #: Sizes, caps and seats as the operator defines them, by the plainest route: every quotient is ranked.
 ORACLES["op2_mixing"] = r"""
 WITH RECURSIVE sized AS (
