@@ -136,3 +136,26 @@ def mix_plan(docs: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of documents."""
     return mix_plan(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that a document is taken whole and
+    one for the part taken beside that. Of a part the text holds the taken words, joined by one space.
+    n_chars, if docs has it, follows the text. Documents of which nothing is taken are left out.
+    """
+    by = W.partitionBy("doc_id", "__hash").orderBy("__hash")
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    plan, _ = mix_plan(keyed, ["__hash"])
+    parts = plan.where("taken > 0").select("doc_id", "__hash", "size", "passes", "lo1", "hi1", "hi2").withColumn("__n", F.row_number().over(by))
+    parts = parts.select(F.col("doc_id").alias("__p_id"), F.col("__hash").alias("__p_hash"), F.col("__n").alias("__p_n"), *[F.col(c).alias(f"__{c}") for c in ("size", "passes", "lo1", "hi1", "hi2")])
+    rows = keyed.withColumn("__n", F.row_number().over(by))
+    both = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("__p_id")) & F.col("__hash").eqNullSafe(F.col("__p_hash")) & (F.col("__n") == F.col("__p_n")))
+    part = (F.greatest(F.lit(0), F.col("__hi1") - F.col("__lo1")) + F.col("__hi2")).cast("long")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.concat(F.slice(words, 1, F.col("__hi2").cast("int")), F.slice(words, (F.col("__lo1") + 1).cast("int"), F.greatest(F.lit(0), F.col("__hi1") - F.col("__lo1")).cast("int"))), " ")
+    piece = F.when(part == F.col("__size"), F.col("text")).when(part > 0, cut)
+    texts = F.concat(F.array_repeat("text", F.col("__passes").cast("int")), F.when(part > 0, F.array(piece)).otherwise(F.array().cast("array<string>")))
+    out = both.withColumn("__texts", texts).select(*[F.col(c) for c in docs.columns if c != "text"], F.explode("__texts").alias("text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, remove, staged
+from lodestone.llm.common import WORD, components, remove, staged
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -270,8 +270,8 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n_shingles, class), class null without words, and (class, root, component_id) of every class; both staged."""
     sketched, _ = staged(sketch_documents(docs), "sketches")
     # A class is a set; its number comes from the set's digest, its representative text from any row that has it.
     by_key = sketched.where("class_key is not null").groupBy("class_key").agg(
@@ -286,9 +286,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = link_classes(classes, docs)
     ids = classes.select("class", "first_id").join(labels, F.col("class") == F.col("node"), "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     smallest = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class, _ = staged(ids.join(smallest, "root").select("class", "component_id"), "class-components")
+    of_class, _ = staged(ids.join(smallest, "root").select("class", "root", "component_id"), "class-components")
     remove(docs.sparkSession, classes_path)
-    rows = sketched.select("doc_id", "n_shingles", F.xxhash64("class_key").alias("class"), F.col("class_key").isNotNull().alias("has_set"))
-    out = rows.join(of_class, "class", "left")
-    component = F.when(F.col("has_set"), F.col("component_id")).otherwise(F.col("doc_id"))
+    rows = sketched.select("doc_id", "text_hash", "n_shingles", F.when(F.col("class_key").isNotNull(), F.xxhash64("class_key")).alias("class"))
+    return rows, of_class
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+    rows, of_class = _grouped(docs)
+    out = rows.join(of_class.select("class", "component_id"), "class", "left")
+    component = F.when(F.col("class").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component (the smallest doc_id, null last) and all rows without words."""
+    rows, of_class = _grouped(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
+    stay = rows.join(of_class, "class").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("__k_id"), F.col("k.text_hash").alias("__k_hash"))
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = keyed.where(has_words).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).unionByName(keyed.where(~has_words)).drop("__hash")
