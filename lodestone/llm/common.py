@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,34 +56,60 @@ def remove(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: A graph of at most so many edges is finished by one task, in bounded memory.
+ONE_TASK_EDGES = 300_000
+
+
+def _roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of an edge list and the smallest node of each one's component."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = back[: len(a)], back[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, roots = _roots_of(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """Connected components of an undirected graph.
 
-    edges: (a long, b long), repeats and loops allowed. Returns (node long, root
-    long) for each node with an edge to another node; root is the smallest node
-    of the component.
+    edges: (a long, b long), staged; repeats and loops allowed. Returns (node long,
+    root long) for each node with an edge to another node, and the staged table's
+    path; root is the smallest node of the component.
 
-    Each round hooks every node's tree onto the smallest root among its
-    neighbours and then halves the paths, so the number of rounds grows with the
-    logarithm of the longest chain. All state stays in staged tables; a hub's
-    edges meet in partial aggregates, never in one task's list.
+    A graph whose counted size is small is finished by one task. Otherwise each
+    round hooks every node's tree onto the smallest root among its neighbours and
+    then halves the paths, so the number of rounds grows with the logarithm of
+    the longest chain. All state stays in staged tables; a hub's edges meet in
+    partial aggregates, never in one task's list.
     """
     spark = edges.sparkSession
     links = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    both, both_path = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    if links.count() <= one_task_edges:
+        return staged(links.coalesce(1).mapInArrow(_one_task, "node long, root long"), "labels")
+    both, both_path = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
     labels, path = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     for _ in range(max_rounds):
         # The smallest label in reach of a node's neighbours, offered to the node's root as well.
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         offers = labels.join(seen, labels.node == seen.a).select("node", "root", F.least("root", "near").alias("best"))
-        better = offers.where("best < root")
-        to_root = better.groupBy(F.col("root").alias("node")).agg(F.min("best").alias("best"))
-        merged = (
-            offers.select("node", "best")
-            .unionByName(to_root)
-            .groupBy("node")
-            .agg(F.min("best").alias("root"))
-        )
+        to_root = offers.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("best"))
+        merged = offers.select("node", "best").unionByName(to_root).groupBy("node").agg(F.min("best").alias("root"))
         hop = merged.select(F.col("node").alias("root"), F.col("root").alias("up"))
         nxt, nxt_path = staged(merged.join(hop, "root").select("node", F.least("up", "root").alias("root")), "labels")
         old = labels.select("node", F.col("root").alias("was"))
@@ -88,8 +117,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         remove(spark, path)
         labels, path = nxt, nxt_path
         if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    remove(spark, both_path)
-    return labels
+            remove(spark, both_path)
+            return labels, path
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

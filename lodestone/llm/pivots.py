@@ -153,13 +153,13 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     paired = cut.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     linked = paired.select(*key, "i", "j", "block", "class", "copies", "embedding", "pivots").groupBy(*key, "i", "j").applyInArrow(block_links, TASK)
     found, found_path = staged(linked, "vector-links")
-    labels = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    labels, labels_path = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     named = classes.select("class", "copies", "first_id").join(labels, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     result = named.join(smallest, "root").join(counts, "class", "left")
     of_class, _ = staged(result.select("class", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "vector-components")
-    remove(vectors.sparkSession, classes_path, path, found_path)
+    remove(vectors.sparkSession, classes_path, path, found_path, labels_path)
     out = rows.select("vec_id", "class").join(of_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
