@@ -1 +1 @@
-"""See the package README."""
+"""Sources: documents and recorded streams to rows."""
