@@ -102,14 +102,16 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_round
     links = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     if links.count() <= one_task_edges:
         return staged(links.coalesce(1).mapInArrow(_one_task, "node long, root long"), "labels")
-    both, both_path = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
+    # Rows are doubled by explode, not by union: a union of equally partitioned sides may not survive coalescing.
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both, both_path = staged(links.select(ends.alias("e")).select("e.a", "e.b").distinct(), "graph")
     labels, path = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     for _ in range(max_rounds):
         # The smallest label in reach of a node's neighbours, offered to the node's root as well.
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         offers = labels.join(seen, labels.node == seen.a).select("node", "root", F.least("root", "near").alias("best"))
-        to_root = offers.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("best"))
-        merged = offers.select("node", "best").unionByName(to_root).groupBy("node").agg(F.min("best").alias("root"))
+        told = F.explode(F.array(F.struct("node", "best"), F.struct(F.col("root").alias("node"), F.col("best"))))
+        merged = offers.select(told.alias("t")).groupBy("t.node").agg(F.min("t.best").alias("root"))
         hop = merged.select(F.col("node").alias("root"), F.col("root").alias("up"))
         nxt, nxt_path = staged(merged.join(hop, "root").select("node", F.least("up", "root").alias("root")), "labels")
         old = labels.select("node", F.col("root").alias("was"))

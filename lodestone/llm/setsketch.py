@@ -11,16 +11,19 @@ two sketches is the sketch of the union (`merge`).
 Two sets agree in a register with a probability close to their Jaccard
 similarity, so BANDS bands of ROWS registers bring similar sets together: at
 similarity 0.75 a pair misses all bands once in 170,000. Pairs whose joint
-maximum-likelihood estimate from the registers lies below KEEP_ESTIMATE, eight
-standard deviations under the threshold, go no further; all others are verified
-on the full sets.
+maximum-likelihood estimate from the registers lies below KEEP_ESTIMATE, four
+standard deviations under the threshold, go no further unless other pairs bring
+both into one cluster; what is in one cluster is verified on the full sets.
 
 Copies never multiply: documents with equal sets form one class, and only classes
-are compared. Within a band's bucket the members are first compared with one
-member, in rounds with another each time, and what these links join needs no
-further comparison; then every pair of members that no link path joins is
-compared. So no link that would join two components is lost, whatever a bucket's
-size, and a bucket of near copies costs a multiple of its members.
+are compared. Large groups are compared in blocks, each pair of blocks by a task
+of its own, and a task reports a spanning forest of what it finds, not the pairs:
+
+1. In each bucket the sketches' estimates give a forest of pairs that may be
+   similar; its components are clusters, which no link leaves.
+2. In each cluster all pairs of full sets are intersected; the links' forest gives
+   the final components. No link that would join two components is lost, whatever
+   the size of a group.
 
 Defined results: documents without words have no set, link with nothing and stay;
 a null doc_id is less than no other: a component's id is its smallest doc_id that
@@ -46,11 +49,12 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SIMILAR, OF = 75, 100
-KEEP_ESTIMATE = 0.45
-#: Comparison with one member a bucket, in so many rounds at most, before all pairs that are still apart are compared.
-ROUNDS = 6
-#: A next round is worth it while more pairs are apart than this many for each bucket member.
-APART_PER_MEMBER = 1
+KEEP_ESTIMATE = 0.6
+#: Shares of equal registers that settle a pair without the estimate (which is within 0.02 of the share where sizes fit).
+SURE_APART, SURE_NEAR = 0.45, 0.7
+#: Groups of so many rows are compared by offset; larger ones as a matrix.
+SMALL_GROUP = 16
+BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 512
 CHUNK = 2048
 
 _rng = np.random.default_rng(20_240_607)
@@ -63,15 +67,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def shingle_set(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    """The full set, for verification."""
-    if not words:
-        return set()
-    if len(words) < WORDS:
-        return {tuple(words)}
-    return set(zip(*(words[i:] for i in range(WORDS)), strict=False))
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
@@ -169,43 +164,139 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
 
 
-def _close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose estimate does not rule similarity out."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sa, sb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-            na, nb = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (4, 5))
-            # Sizes alone bound the similarity; the estimate decides the rest.
-            near = (np.minimum(na, nb) * OF >= SIMILAR * np.maximum(na, nb)) & (estimate(sa, sb, na, nb) >= KEEP_ESTIMATE)
-            yield b.select([0, 1]).filter(pa.array(near))
-
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    return sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar. texts: (class, text)."""
-    ta = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set] = (None, set())
-        for batch in batches:
-            ok = []
-            for a, t1, t2 in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != a:  # pairs come sorted by a
-                    last = (a, shingle_set(words_of(t1.as_py())))
-                other = shingle_set(words_of(t2.as_py()))
-                both = len(last[1] & other)
-                ok.append(OF * both >= SIMILAR * (len(last[1]) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    joined = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return joined.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that are sorted by their first `keys` columns: a table of some groups and the rows at which
+    they begin. Holds one batch and the group that runs on into the next."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        starts = _starts(t, keys)
+        if starts[-1]:
+            yield t.slice(0, int(starts[-1])), starts[:-1]
+        held = t.slice(int(starts[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def _starts(t: pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in range(keys):
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _spread(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least id that each row reaches over links between left and right rows."""
+    root = ids.copy() if root is None else root
+    most = np.iinfo(np.int64).max
+    while True:
+        new = root.copy()
+        new[left] = np.minimum(new[left], np.where(linked, root[right][None, :], most).min(1, initial=most))
+        np.minimum.at(new, right, np.where(linked, new[left][:, None], most).min(0, initial=most))
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _sides(i: int, j: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if i == j:
+        return np.arange(len(block)), np.arange(len(block))
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def may_link(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sizes and joint estimate leave similarity open, for pairs of sketches."""
+    open_ = (np.minimum(na, nb) * OF >= SIMILAR * np.maximum(na, nb)) & ((sa == sb).mean(1) >= SURE_APART)
+    at = np.flatnonzero(open_)
+    open_[at] = estimate(sa[at], sb[at], na[at], nb[at]) >= KEEP_ESTIMATE
+    return open_
+
+
+def _candidate_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the pairs in each bucket's blocks that may be similar."""
+    for t, starts in _groups(batches, 3):
+        ids, size = t.column("class").to_numpy(), t.column("n_shingles").to_numpy().astype(float)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        ends = np.append(starts[1:], t.num_rows)
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        small = (ends - starts) <= SMALL_GROUP
+        found_a, found_b = [], []
+        for d in range(1, int((ends - starts)[small].max(initial=1))):
+            r = np.flatnonzero((group[:-d] == group[d:]) & small[group[:-d]])
+            r = r[may_link(sketch[r], sketch[r + d], size[r], size[r + d])]
+            found_a.append(ids[r])
+            found_b.append(ids[r + d])
+        for g in np.flatnonzero(~small):
+            rows = slice(starts[g], ends[g])
+            i, j = t.column("i")[int(starts[g])].as_py(), t.column("j")[int(starts[g])].as_py()
+            root = _large_group(ids[rows], size[rows], sketch[rows], *_sides(i, j, t.column("block").to_numpy()[rows]))
+            found_a.append(ids[rows])
+            found_b.append(root)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+        off = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(a[off]), pa.array(b[off])], ["a", "b"])
+
+
+def _large_group(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    same = np.stack([(sketch[right] == sketch[r]).mean(1) for r in left])
+    fits = np.minimum(size[left][:, None], size[right]) * OF >= SIMILAR * np.maximum(size[left][:, None], size[right])
+    root = _spread(ids, left, right, fits & (same >= SURE_NEAR))
+    x, y = np.nonzero(fits & (same >= SURE_APART) & (root[left][:, None] != root[right][None, :]))
+    linked = np.zeros(same.shape, bool)
+    for at in range(0, len(x), 100_000):  # what the share of equal registers leaves open, by the joint estimate
+        u, v = x[at : at + 100_000], y[at : at + 100_000]
+        linked[u, v] = estimate(sketch[left[u]], sketch[right[v]], size[left[u]], size[right[v]]) >= KEEP_ESTIMATE
+    return _spread(ids, left, right, linked | (fits & (same >= SURE_NEAR)), root)
+
+
+def _link_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the links in each cluster's blocks, by intersections of full sets."""
+    for t, starts in _groups(batches, 3):
+        ids, texts, block = t.column("class").to_numpy(), t.column("text"), t.column("block").to_numpy()
+        out_a, out_b = [], []
+        for lo, hi in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
+            i, j = t.column("i")[int(lo)].as_py(), t.column("j")[int(lo)].as_py()
+            left, right = _sides(i, j, block[lo:hi])
+            words = [words_of(texts[int(r)].as_py()) for r in range(lo, hi)]
+            linked = similar_sets([shingle_hashes(w) for w in words], left, right)
+            root = _spread(ids[lo:hi], left, right, linked)
+            for r in range(hi - lo):
+                if root[r] != ids[lo + r]:
+                    out_a.append(ids[lo + r])
+                    out_b.append(root[r])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+
+def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Boolean matrix: whether left and right sets have at least the wanted similarity. Hashes are numbered, and a row's
+    intersections with all right sets are one look-up and one sum over these sets' numbers."""
+    size = np.array([len(x) for x in sets])
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    own = [number[upto[k] : upto[k + 1]] for k in range(len(sets))]
+    flat = np.concatenate([own[k] for k in right])
+    first = np.concatenate([[0], np.cumsum(size[right])])[:-1]
+    have = np.zeros(len(names), np.int64)
+    out = np.zeros((len(left), len(right)), bool)
+    for row, k in enumerate(left):
+        have[own[k]] = 1
+        both = np.add.reduceat(have[flat], first)
+        have[own[k]] = 0
+        out[row] = OF * both >= SIMILAR * (size[k] + size[right] - both)
+    return out
+
+
+def _in_blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
+    """Rows of each key in pairs of blocks (i, j), i <= j: each pair of rows of a key meets in one pair of blocks, and no
+    pair of blocks holds many more than 2 * block rows."""
+    cut = rows.withColumn("blocks", F.ceil(F.col(count) / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
+    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return paired.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -213,60 +304,23 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     classes: (class, n_shingles, sketch, rep), staged; rep names a row of docs that has the set.
     """
+    spark = classes.sparkSession
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * 2 * ROWS + 1, 2 * ROWS)))
     entries = classes.select("class", F.explode(bands).alias("bucket"))
-    busy = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("busy_bucket"))
-    members, members_path = staged(entries.join(busy, F.col("bucket") == F.col("busy_bucket"), "left_semi"), "band-members")
-    size = members.count()
-    # Texts of classes that share a bucket with another; the corpus is shuffled for them once.
-    needed = members.select("class").distinct().join(classes.select("class", "rep"), "class")
+    busy = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select(F.col("bucket").alias("busy"), "members")
+    members = entries.join(busy, F.col("bucket") == F.col("busy")).drop("busy").join(classes.select("class", "n_shingles", "sketch"), "class")
+    blocks = _in_blocks(members, "bucket", "members", BUCKET_BLOCK).select("bucket", "i", "j", "block", "class", "n_shingles", "sketch")
+    near, near_path = staged(blocks.mapInArrow(_candidate_forest, "a long, b long").distinct(), "candidates")
+    clusters, clusters_path = components(near)
+    # Each cluster's texts meet once; the corpus is shuffled for them once.
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
+    needed = clusters.join(sizes, "root").join(classes.select(F.col("class").alias("node"), "rep"), "node")
     rows = _rows(docs).join(needed, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash")))
-    texts, texts_path = staged(rows.select("class", "text").dropDuplicates(["class"]), "class-texts")
-    paths: list[str] = [members_path, texts_path]
-    edges: DataFrame | None = None
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return members.withColumn("root", F.col("class"))
-        return members.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-
-    for step in range(ROUNDS + 1):
-        # A bucket's members by component; a bucket all of whose members are joined has nothing left to do.
-        at = labelled()
-        if step:
-            open_buckets = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("bucket").alias("open_bucket"))
-            at = at.join(open_buckets, F.col("bucket") == F.col("open_bucket"), "left_semi")
-        at, path = staged(at, "open-members")
-        paths.append(path)
-        apart = at.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        left = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("n")).first()["n"]
-        if not left:
-            break
-        last = step == ROUNDS or left <= APART_PER_MEMBER * size
-        if last:
-            other = at.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"))
-            pairs = at.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra")).join(other, "bucket").where("a < b and ra <> rb").select("a", "b")
-        else:
-            lead = at.groupBy("bucket").agg(F.min_by(F.struct("class", "root"), F.xxhash64("class", F.lit(step))).alias("l"))
-            pairs = at.join(lead, "bucket").where("root <> l.root").select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, path = staged(pairs, "pairs")
-        paths.append(path)
-        found, path = staged(verified(_close_pairs(pairs, classes), texts), "links")
-        paths.append(path)
-        edges = found if edges is None else edges.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if last:
-            labels = components(edges)
-            break
-        labels = components(edges)
-    if labels is None:
-        labels = classes.sparkSession.createDataFrame([], "node long, root long")
-    remove(classes.sparkSession, *paths)
+    texts = rows.select(F.col("node").alias("class"), "root", "members", "text").dropDuplicates(["class"])
+    blocks = _in_blocks(texts, "root", "members", CLUSTER_BLOCK).select("root", "i", "j", "block", "class", "text")
+    links, links_path = staged(blocks.mapInArrow(_link_forest, "a long, b long"), "links")
+    labels, _ = components(links)
+    remove(spark, near_path, clusters_path, links_path)
     return labels
 
 
