@@ -29,8 +29,6 @@ repeated items or rows each give their own matches; an empty benchmark or table
 gives an empty result. Extra columns are ignored, whatever their names.
 """
 
-from __future__ import annotations
-
 import math
 from bisect import bisect_left
 from collections import Counter
@@ -38,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -295,9 +294,10 @@ def find_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _holds(sent):  # noqa: ANN001, ANN202
-    import pandas as pd
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(sent.value.matches(words_of(t))) for t in texts], dtype=bool)
 
-    return lambda texts: pd.Series([bool(sent.value.matches(words_of(t))) for t in texts], dtype=bool)
+    return holds
 
 
 def flag_contaminated(docs: DataFrame, items: DataFrame, flag: str) -> DataFrame:
@@ -306,7 +306,7 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, flag: str) -> DataFrame
     for index in build_indexes(items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        holds = F.pandas_udf(_holds(sent), "boolean", F.PandasUDFType.SCALAR)
+        holds = F.pandas_udf(_holds(sent), "boolean")
 
         out = out.withColumn(flag, F.col(flag) | holds(docs["text"]))
     return out
