@@ -128,7 +128,7 @@ def embed_tokens(dimensions: int):  # noqa: ANN201
         for ids in batches:
             yield pd.Series([synthesize(list(i), dimensions) for i in ids])
 
-    return F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "array<double>")
 
 
 def fake_embedding(text: Column, dimensions: int = 16) -> Column:
