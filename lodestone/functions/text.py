@@ -264,6 +264,33 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
+def markdown_segments(text: Column) -> Column:
+    """array<struct<kind, body>>: fenced code, tables (a bar line followed by a rule line) and the text around them. A bar
+    line that no rule follows is text. A fold over the lines keeps the open segment."""
+    lines = F.split(text, "\n")
+    marked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.get(lines, i + 1).alias("after")))
+    seg = "array<struct<kind:string,body:string>>"
+    start = F.struct(F.array().cast(seg).alias("done"), F.lit("").alias("kind"), F.lit("").alias("body"))
+
+    def step(s: Column, line: Column) -> Column:
+        x, bar = line["x"], line["x"].rlike(r"^\s*\|.*\|\s*$")
+        fence = F.trim(x).startswith("```")
+        rule = F.coalesce(line["after"].rlike(r"^\s*\|[\s:|-]*---[\s:|-]*\|?\s*$"), F.lit(False))
+        in_code = s["kind"] == "code"
+        kind = F.when(in_code, "code").when(fence, "code").when(bar & (rule | (s["kind"] == "table")), "table").otherwise("text")
+        closed = F.when(F.trim(s["body"]) != "", F.concat(s["done"], F.array(F.struct(s["kind"].alias("kind"), s["body"].alias("body"))))).otherwise(s["done"])
+        ends = in_code & fence
+        joined = F.when(s["body"] == "", x).otherwise(F.concat(s["body"], F.lit("\n"), x))
+        return (
+            F.when(ends, F.struct(F.concat(s["done"], F.array(F.struct(F.lit("code").alias("kind"), s["body"].alias("body")))).alias("done"), F.lit("").alias("kind"), F.lit("").alias("body")))
+            .when(fence, F.struct(closed.alias("done"), F.lit("code").alias("kind"), F.lit("").alias("body")))
+            .when(s["kind"] == kind, F.struct(s["done"].alias("done"), kind.alias("kind"), joined.alias("body")))
+            .otherwise(F.struct(closed.alias("done"), kind.alias("kind"), x.alias("body")))
+        )
+
+    return F.aggregate(marked, start, step, lambda s: F.when(F.trim(s["body"]) != "", F.concat(s["done"], F.array(F.struct(s["kind"].alias("kind"), s["body"].alias("body"))))).otherwise(s["done"]))
+
+
 def clean_html(text: Column) -> Column:
     """Tags to spaces, five entities, white space collapsed and trimmed."""
     t = F.regexp_replace(text, "<[^>]*>", " ")

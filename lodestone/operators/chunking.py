@@ -74,6 +74,15 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
     return out.select("doc_id", ident.alias("chunk_id"), "seq", "content", "token_count", "char_start", "char_end", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
 
 
+def page_ranges(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds page_start and page_end: least and greatest page whose characters [start, end) overlap the chunk's; 1 for none.
+    Pages of a document meet its chunks by document only, in the order of both."""
+    lists = pages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "page")).alias("__p"))
+    j = chunks.join(lists, "doc_id", "left")
+    hit = F.transform(F.filter(F.col("__p"), lambda p: (p["start"] < F.col("char_end")) & (p["end"] - 1 >= F.col("char_start"))), lambda p: p["page"])
+    return j.withColumns({"page_start": F.coalesce(F.array_min(hit), F.lit(1)), "page_end": F.coalesce(F.array_max(hit), F.lit(1))}).drop("__p")
+
+
 def slide(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, int, int, int]]:
     """Windows of a trimmed text of any script: (seq, content, tokens, start, end)."""
     weight = np.array([2 if re.match(f"[{DENSE_SCRIPTS}]", c) else 1 for c in text], np.int64)  # quarters of a token

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from lodestone.plans import fixtures  # noqa: F401 - registers its queries
 from lodestone.plans import queries as own
 
 DATA = "/root/testdata/sf0.001"
