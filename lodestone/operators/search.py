@@ -79,10 +79,22 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, ident: str = "chu
     return rank_top_k(scored, k, "chunk_id")
 
 
+def flat_terms(text: Column) -> Column:
+    """The terms in a row, each after a space; a text's flat terms contain those of a phrase where its words occur in a
+    row, the last as a prefix."""
+    return F.concat(F.lit(" "), F.array_join(terms(text), " "))
+
+
 def phrase_prefix(text: Column, phrase: Column) -> Column:
     """Whether the phrase's words occur in a row, the last as a prefix: what a quoted, starred full-text query asks."""
-    flat = lambda t: F.concat(F.lit(" "), F.array_join(terms(t), " "))
-    return (F.size(terms(phrase)) > 0) & flat(text).contains(flat(phrase))
+    return (flat_terms(phrase) != " ") & flat_terms(text).contains(flat_terms(phrase))
+
+
+def phrase_search(chunks: DataFrame, queries: DataFrame, ident: str = "chunk_id", text: str = "content") -> DataFrame:
+    """(query_id, chunk_id) of the chunks that hold a query's text as a phrase prefix. Each side is flattened once, before they meet."""
+    q = small(queries.select("query_id", flat_terms(F.col("text")).alias("__q")).where("__q <> ' '"))
+    c = chunks.select(F.col(ident).alias("chunk_id"), flat_terms(F.col(text)).alias("__c"))
+    return c.join(q, F.contains("__c", "__q")).select("query_id", "chunk_id")
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:

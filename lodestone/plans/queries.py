@@ -223,10 +223,9 @@ def j20_bm25_topk(spark, d):  # noqa: ANN001, ANN201
 q AS (SELECT item_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''), ' ') AS q FROM benchmark)
 SELECT item_id, count(*) AS hits, min(doc_id) AS first_doc FROM q JOIN f ON contains(f, q) GROUP BY item_id""")
 def j19_phrase_prefix(spark, d):  # noqa: ANN001, ANN201
-    phrase = F.array_join(search.terms(F.col("text")), " ")
-    q = search.small(table(spark, d, "benchmark").select("item_id", phrase.alias("phrase")))
-    hits = table(spark, d, "documents").crossJoin(q).where(search.phrase_prefix(F.col("text"), F.col("phrase")))
-    return hits.groupBy("item_id").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first_doc"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = search.phrase_search(table(spark, d, "documents"), q, "doc_id", "text")
+    return hits.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("hits"), F.min("chunk_id").alias("first_doc"))
 
 
 @query("""WITH b AS (SELECT item_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM b a JOIN b ON a.item_id < b.item_id""")
