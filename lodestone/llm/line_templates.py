@@ -9,8 +9,8 @@ Templates with at least half their tokens fixed that lines of MIN_DOCS documents
 share are recurring: their lines are dropped, save the first (by doc_id, then a
 hash of the text, then position), so that no passage vanishes from the corpus.
 
-Only lines in leaves that several documents share are ever cut into tokens, each
-distinct line once; other lines pass by as hashes.
+Only distinct lines in leaves that hold several of them and that documents share
+are ever cut into tokens; other lines pass by as hashes.
 
 Defined results: a null text has no lines and stays null; lines without tokens are
 kept; a document whose lines are all dropped has an empty text; rows with equal
@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, remove, staged
+from lodestone.llm.common import remove, staged
 
 LEADING = 4
 MIN_DOCS = 2
 FIELD = "<*>"
+#: Keys of leaves, eight bytes each, go to every task up to this number; beyond it they are joined.
+BROADCAST_LEAVES = 1_000_000
 _GAP = r"[\x20\x09-\x0D]+"
 #: A token with a digit: from a token's start, without looking at any character twice.
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
@@ -39,54 +41,66 @@ def masked_line(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, FIELD)).otherwise(plain)
 
 
+def _doc_key() -> Column:
+    """Rows with equal doc_id and text are one document."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, line, leaf): masked lines that have tokens, with a hash of their leaf."""
-    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("doc_id", "text_key", "pos", masked_line(F.col("raw")).alias("line")).where("line <> ''")
+    """(doc, doc_id, pos, line, leaf, h): masked lines that have tokens, with hashes of their leaf and of themselves."""
+    rows = docs.select(_doc_key().alias("doc"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    rows = rows.select("doc", "doc_id", "pos", masked_line(F.col("raw")).alias("line")).where("line <> ''")
     tokens = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return rows.withColumn("leaf", F.xxhash64(tokens, F.substring_index("line", " ", LEADING)))
-
-
-def recurring_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(doc_id, text_key, pos) of the lines to drop, and the staged tables behind it."""
-    lines = _lines(docs)
-    # Two hashes of a line stand for it until its tokens are wanted.
-    hashed, path = staged(lines.select("doc_id", "text_key", "pos", "leaf", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")), "lines")
-    ident = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
-    shared = hashed.groupBy("leaf").agg(F.min(ident).alias("a"), F.max(ident).alias("b")).where("a <> b").select(F.col("leaf").alias("shared_leaf"))
-    shared, shared_path = staged(shared, "shared-leaves")
-    in_shared = lambda df: df.join(shared, F.col("leaf") == F.col("shared_leaf"), "left_semi")
-    # Each distinct line of a shared leaf, with the first and the last document that has it: enough to know whether a token has two.
-    per_line = (
-        in_shared(hashed).groupBy("leaf", "h1", "h2").agg(F.min(ident).alias("a"), F.max(ident).alias("b"))
-    )
-    per_line, per_line_path = staged(per_line, "distinct-lines")
-    texts = in_shared(lines).select("leaf", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), "line").dropDuplicates(["leaf", "h1", "h2"])
-    tokens = texts.join(per_line, ["leaf", "h1", "h2"]).select("leaf", "h1", "h2", "a", "b", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    tokens, tokens_path = staged(tokens, "line-tokens")
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    spelled = tokens.join(fixed, ["leaf", "at", "token"], "left").select("leaf", "h1", "h2", "a", "b", "at", F.when(F.col("fixed"), F.col("token")).otherwise(FIELD).alias("token"))
-    # One hash for each position, in order, is the template; positions of a line are bounded by its own length.
-    template = F.xxhash64(F.array_sort(F.collect_list(F.struct("at", F.xxhash64("token").alias("t")))))
-    per_template = spelled.groupBy("leaf", "h1", "h2").agg(template.alias("template"), F.count(F.when(F.col("token") != FIELD, 1)).alias("fixed"), F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    per_template, per_template_path = staged(per_template.where("fixed * 2 >= n").drop("fixed", "n"), "templates")
+    return rows.withColumns({"leaf": F.xxhash64(tokens, F.substring_index("line", " ", LEADING)), "h": F.xxhash64("line")})
+
+
+def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(doc, pos) of the lines to drop, and the staged table behind it.
+
+    A line is known by the hashes of its leaf and of itself, 128 bits together. In
+    a leaf with one distinct line that line is its own template, and if documents
+    share it all its tokens are fixed; only leaves with several distinct lines
+    are analysed token by token.
+    """
+    words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    fields = F.size(F.filter(F.split("line", " "), lambda t: t == FIELD))
+    solid = F.when(F.col("line").contains(FIELD), (words - fields) * 2 >= words).otherwise(True)
+    hashed, path = staged(_lines(docs).select("doc", "doc_id", "pos", "leaf", "h", solid.alias("solid")), "lines")
+    # Each distinct line with the least and greatest document that has it: enough to know whether there are two.
+    per_line, per_line_path = staged(hashed.groupBy("leaf", "h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.bool_and("solid").alias("solid")), "distinct-lines")
+    leaves = per_line.groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b")
+    several = leaves.where("n > 1").select(F.col("leaf").alias("s_leaf"))
+    several, several_path = staged(several, "shared-leaves")
+    single = per_line.where("solid").join(leaves.where("n = 1").select("leaf"), "leaf", "left_semi").select("leaf", "h", F.col("h").alias("template"))
+
+    wanted = F.broadcast(several) if several.count() <= BROADCAST_LEAVES else several
+    texts = _lines(docs).join(wanted, F.col("leaf") == F.col("s_leaf"), "left_semi").select("leaf", "h", "line").dropDuplicates(["leaf", "h"])
+    tokens = texts.join(per_line.drop("solid"), ["leaf", "h"]).select("leaf", "h", "a", "b", F.posexplode(F.split("line", " ")).alias("at", "t"))
+    tokens, tokens_path = staged(tokens.select("leaf", "h", "a", "b", F.col("at").cast("short").alias("at"), F.xxhash64("t").alias("t"), (F.col("t") == FIELD).alias("field")), "line-tokens")
+    fixed = tokens.groupBy("leaf", "at", "t").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("leaf", "at", "t", F.lit(True).alias("fixed"))
+    spelled = tokens.join(fixed, ["leaf", "at", "t"], "left").withColumn("fixed", F.col("fixed").isNotNull())
+    # One hash for each position, in order, is the template; a line has as many as its own tokens.
+    word = F.when(F.col("fixed"), F.col("t"))
+    template = F.xxhash64(F.array_sort(F.collect_list(F.struct("at", word.alias("t")))))
+    per_template = spelled.groupBy("leaf", "h").agg(template.alias("template"), F.count(F.when(F.col("fixed") & ~F.col("field"), 1)).alias("k"), F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    per_template, per_template_path = staged(per_template.where("k * 2 >= n").drop("k", "n"), "templates")
     recurring = per_template.groupBy("leaf", "template").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("leaf", "template")
-    of_line = per_template.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h1", "h2", "template")
-    # Every line with a recurring template, and the first of each template.
-    hits, hits_path = staged(in_shared(hashed).join(of_line, ["leaf", "h1", "h2"]).select("doc_id", "text_key", "pos", "leaf", "template"), "recurring")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"), F.col("pos"))
+    analysed = per_template.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h", "template")
+    of_line = analysed.unionByName(single)
+    hits, hits_path = staged(hashed.join(of_line, ["leaf", "h"]).select("doc", "doc_id", "pos", "leaf", "template"), "recurring")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("doc"), F.col("pos"))
     firsts = hits.groupBy("leaf", "template").agg(F.min(place).alias("keep"))
-    drop = hits.join(firsts, ["leaf", "template"]).where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "text_key", "pos")
-    remove(docs.sparkSession, path, shared_path, per_line_path, tokens_path, per_template_path)
-    return drop, [hits_path]
+    drop = hits.join(firsts, ["leaf", "template"]).where(~place.eqNullSafe(F.col("keep"))).select("doc", "pos")
+    remove(docs.sparkSession, path, per_line_path, several_path, tokens_path, per_template_path)
+    return drop, hits_path
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) with n_lines, n_dropped, dropped (positions from 0) and kept_text added."""
     drop, _ = recurring_lines(docs.select("doc_id", "text"))
-    per_doc = drop.groupBy(F.col("doc_id").alias("__d_id"), F.col("text_key").alias("__d_key")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    keyed = docs.drop("n_lines", "n_dropped", "dropped", "kept_text").withColumn("__key", F.md5(F.col("text").cast("binary")))
-    out = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__d_id")) & (F.col("__key") == F.col("__d_key")), "left").drop("__d_id", "__d_key", "__key")
+    per_doc = drop.groupBy(F.col("doc").alias("__d")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    keyed = docs.drop("n_lines", "n_dropped", "dropped", "kept_text").withColumn("__key", _doc_key())
+    out = keyed.join(per_doc, F.col("__key") == F.col("__d"), "left").drop("__d", "__key")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     split = F.split("text", "\n", -1)
     kept = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(dropped, i)), "\n"))
