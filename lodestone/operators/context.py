@@ -130,6 +130,15 @@ def finalize(answers: DataFrame, results: DataFrame, redact: Callable[[Column],
     return out.select("query_id", F.when(found, F.col("answer")).otherwise(REFUSAL).alias("answer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(found, F.coalesce("n", F.lit(0))).otherwise(0).alias("n_citations"))
 
 
+def rewrite_queries(queries: DataFrame, history: DataFrame, rewrite: Callable[[Column, Column], Column]) -> DataFrame:
+    """Queries (query_id, conv_id, text) reworded by their conversation's recent turns; those without history stay.
+    rewrite: (text, transcript) to text, a plug-in."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(F.upper(x["role"]), F.lit(": "), x["text"])), "\n")
+    past = recent_turns(history).groupBy("conv_id").agg(lines.alias("__past"))
+    j = queries.join(past, "conv_id", "left")
+    return j.withColumn("text", F.when(F.col("__past").isNotNull(), rewrite(F.col("text"), F.col("__past"))).otherwise(F.col("text"))).drop("__past")
+
+
 def ask(queries: DataFrame, results: DataFrame, generate: Callable[[Column], Column], schema: str | None = None, retries: int = 2, redact: Callable[[Column], Column] | None = None) -> DataFrame:
     """A batch of questions to answers: context, prompt, generation, checked output, citations.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -246,3 +246,25 @@ def decrypt(content: Column, key: Column) -> Column:
 def rotate_keys(keys: DataFrame, old: Column, new: Column) -> DataFrame:
     """Wrapped data keys re-wrapped under a new key; the data stays as it is. Dropping a row shreds what it protects."""
     return keys.withColumn("wrapped", encrypt(decrypt(F.col("wrapped"), old), new))
+
+
+def rule_table(spark: SparkSession, *rules: tuple[str, list[str] | int | None]) -> DataFrame:
+    """A rules table from (kind, items or token limit) pairs, in order: the shape that parse_policy() gives. A reload is a new table."""
+    names = {kind: (ident, cat) for kind, _, ident, cat in RULES}
+    rows = []
+    for n, (kind, arg) in enumerate(rules):
+        items = list(SENSITIVE) if kind == "confidential" and arg is None else arg if isinstance(arg, list) else []
+        rows.append((n, kind, *names[kind], items, (arg if isinstance(arg, int) else DAILY_TOKENS) if kind == "quota" else None))
+    return spark.createDataFrame(rows, "rule_order int, kind string, rule_id string, category string, items array<string>, max_tokens long")
+
+
+def missing_keys(collections: DataFrame, keys: DataFrame, wrapping: Column) -> DataFrame:
+    """(collection_id, wrapped) for collections without a data key: a random key of 16 bytes, wrapped. Write it before
+    use, as each evaluation draws anew."""
+    fresh = collections.select("collection_id").distinct().join(keys.select("collection_id"), "collection_id", "left_anti")
+    return fresh.withColumn("wrapped", encrypt(F.expr("unhex(replace(uuid(), '-', ''))"), wrapping))
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """An append-only sink for audit and telemetry rows."""
+    rows.write.mode("append").parquet(path)

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -288,3 +288,42 @@ def pdf_pages(pages: DataFrame, ocr: Callable[[Column], Column] | None = None) -
     rows = pages.where(F.col("page") <= MAX_PAGES).select(F.col("doc_id").cast("long").alias("doc_id"), "page", F.posexplode(parts).alias("n", "p"))
     null = F.lit(None)
     return rows.select("doc_id", ((F.col("page") - 1) * 2 + F.col("n")).cast("int").alias("ord"), "p.kind", "p.text", null.cast("int").alias("level"), null.cast("array<string>").alias("headers"), null.cast("array<array<string>>").alias("rows"), F.col("page").cast("int").alias("page"), null.cast("string").alias("section"))
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(doc_id, path, size_bytes, content) of the files below a folder; doc_id is a hash of the path."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return f.select(F.xxhash64("path").alias("doc_id"), "path", F.col("length").alias("size_bytes"), "content")
+
+
+def image_elements(files: DataFrame, ocr: Callable[[Column], Column]) -> DataFrame:
+    """One text for each image (doc_id, content). ocr: content column to text column, a plug-in."""
+    null = F.lit(None)
+    return files.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("ord"), F.lit("text").alias("kind"), ocr(F.col("content")).alias("text"), null.cast("int").alias("level"),
+        null.cast("array<string>").alias("headers"), null.cast("array<array<string>>").alias("rows"), null.cast("int").alias("page"), null.cast("string").alias("section"),
+    )
+
+
+def parse_all(files: DataFrame, ocr: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(elements, errors) of files (doc_id, mime_type, size_bytes, content): each goes to the first parser that takes its
+    type; files over the limits, of unknown types or broken give an error row. PDFs need a reader in front (see pdf_pages)."""
+    good, big = within_limits(files)
+    typed = good.withColumn("parser", parser_for(F.col("mime_type")))
+    of = lambda *names: typed.where(F.col("parser").isin(*names))
+    text = lambda df: df.select("doc_id", F.col("content").cast("string").alias("text"))
+    sheets = F.col("mime_type").contains("spreadsheet")
+    elements = parse_text(text(of("text")))
+    elements = elements.unionByName(parse_html(text(of("html")), "doc_id", "text"))
+    tables = of("tabular").where(~sheets)
+    for tab, delimiter in ((False, ","), (True, "\t")):
+        elements = elements.unionByName(parse_csv(text(tables.where(F.col("mime_type").contains("tab-separated") == tab)), delimiter))
+    errors = big.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("reject_reason").alias("error"))
+    for rows, parse in ((of("docx"), docx_elements), (of("tabular").where(sheets), xlsx_elements)):
+        found, bad = parse_binary(rows, parse)
+        elements, errors = elements.unionByName(found), errors.unionByName(bad)
+    taken = ["text", "html", "tabular", "docx"]
+    if ocr:
+        elements, taken = elements.unionByName(image_elements(of("image"), ocr)), [*taken, "image"]
+    rest = typed.where(~F.coalesce(F.col("parser").isin(*taken), F.lit(False)))
+    return elements, errors.unionByName(rest.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("NO_SUPPORTED_PARSER").alias("error")))

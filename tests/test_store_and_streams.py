@@ -114,3 +114,37 @@ def test_model_catalogue(spark):
     j = '{"models":[{"id":"a","minRamBytes":100,"supportedAbis":["arm64"]},{"id":"b","minRamBytes":900},{"id":"c","supportedAbis":["x86"]}]}'
     m = store.parse_model_catalog(spark.createDataFrame([(j,)], "json string"))
     assert [r.id for r in store.compatible_models(m, 500, 30, ["arm64"]).collect()] == ["a"] and m.first().license == "Unknown"
+
+
+def test_parse_all_and_files(spark, tmp_path):
+    from lodestone.sources import parsers
+
+    rows = [(1, "text/plain", 5, b"# H\nwords"), (2, "text/html", 5, b"<p>x</p>"), (3, "text/csv", 5, b"a,b\n1,2"), (4, "video/mp4", 5, b""), (5, "application/msword", 5, b"junk"), (6, "image/png", 5, b"img"), (7, "text/plain", 10**9, b"big"), (8, "text/tab-separated-values", 5, b"a\tb\n1\t2")]
+    files = spark.createDataFrame([(i, m, n, bytearray(b)) for i, m, n, b in rows], "doc_id long, mime_type string, size_bytes long, content binary")
+    good, bad = parsers.parse_all(files, lambda c: F.concat(F.lit("seen "), c.cast("string")))
+    assert {(r.doc_id, r.kind) for r in good.collect()} == {(1, "heading"), (1, "text"), (2, "text"), (3, "table"), (6, "text"), (8, "table")}
+    assert {r.doc_id: r.error for r in bad.collect()}.keys() == {4, 5, 7}
+    (tmp_path / "a.txt").write_text("x")
+    assert parsers.read_files(spark, str(tmp_path)).first().size_bytes == 1
+
+
+def test_rules_keys_and_rewriting(spark):
+    rules = governance.rule_table(spark, ("roaming", None), ("quota", 10))
+    req = spark.createDataFrame([(1, "CLOUD", None, "w", False, "p", None, 11), (2, "CLOUD", None, "w", True, "p", None, 11), (3, "LOCAL", None, "w", True, "p", None, 11)], "request_id int, locality string, labels string, workspace string, roaming boolean, provider string, region string, tokens int")
+    got = {r.request_id: r.rule_id for r in governance.evaluate_policy(req, rules).collect()}
+    assert got == {1: "RULE-QUOTA-001", 2: "RULE-NETWORK-001", 3: None}
+    key = F.lit("0123456789abcdef").cast("binary")
+    made = governance.missing_keys(spark.createDataFrame([("a",), ("b",)], "collection_id string"), spark.createDataFrame([("a",)], "collection_id string"), key)
+    assert [(r.collection_id, len(r.wrapped)) for r in made.collect()] == [("b", 12 + 16 + 16)]
+    h = spark.createDataFrame([(1, 0, "user", "hello")], "conv_id int, turn int, role string, text string")
+    q = spark.createDataFrame([(1, 1, "and then?"), (2, 2, "alone")], "query_id int, conv_id int, text string")
+    out = {r.query_id: r.text for r in context.rewrite_queries(q, h, lambda t, past: F.concat(past, F.lit(" / "), t)).collect()}
+    assert out == {1: "USER: hello / and then?", 2: "alone"}
+
+
+def test_diversify_and_pack_by_score(spark):
+    rows = [(0, "c1", 0.95, "Kotlin coroutines flow dispatchers", "d", 0, 5), (0, "c2", 0.90, "Kotlin coroutines flow dispatchers and scope", "d", 1, 5), (0, "c3", 0.85, "SQLite database encryption using SQLCipher", "d", 2, 5)]
+    c = spark.createDataFrame(rows, "query_id int, chunk_id string, score double, content string, document_id string, seq int, token_count int")
+    assert [r.chunk_id for r in search.diversify(c, 2, 0.5).orderBy("rank").collect()] == ["c1", "c3"]
+    assert list(context.pack(c, 10).first().included) == ["c1", "c2"]
+    assert list(context.pack(c.withColumn("seq", -F.col("seq")), 10, by_score=True).first().included) == ["c1", "c2"]
