@@ -143,13 +143,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     one for the part taken beside that. Of a part the text holds the taken words, joined by one space.
     n_chars, if docs has it, follows the text. Documents of which nothing is taken are left out.
     """
-    by = W.partitionBy("doc_id", "__hash").orderBy("__hash")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    plan, _ = mix_plan(keyed, ["__hash"])
-    parts = plan.where("taken > 0").select("doc_id", "__hash", "size", "passes", "lo1", "hi1", "hi2").withColumn("__n", F.row_number().over(by))
-    parts = parts.select(F.col("doc_id").alias("__p_id"), F.col("__hash").alias("__p_hash"), F.col("__n").alias("__p_n"), *[F.col(c).alias(f"__{c}") for c in ("size", "passes", "lo1", "hi1", "hi2")])
+    by = W.partitionBy("doc_id", "__mix_key").orderBy("__mix_key")
+    keyed = docs.withColumn("__mix_key", F.xxhash64("text"))
+    plan, _ = mix_plan(keyed, ["__mix_key"])
+    parts = plan.where("taken > 0").select("doc_id", "__mix_key", "size", "passes", "lo1", "hi1", "hi2").withColumn("__n", F.row_number().over(by))
+    parts = parts.select(F.col("doc_id").alias("__p_id"), F.col("__mix_key").alias("__p_hash"), F.col("__n").alias("__p_n"), *[F.col(c).alias(f"__{c}") for c in ("size", "passes", "lo1", "hi1", "hi2")])
     rows = keyed.withColumn("__n", F.row_number().over(by))
-    both = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("__p_id")) & F.col("__hash").eqNullSafe(F.col("__p_hash")) & (F.col("__n") == F.col("__p_n")))
+    both = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("__p_id")) & F.col("__mix_key").eqNullSafe(F.col("__p_hash")) & (F.col("__n") == F.col("__p_n")))
     part = (F.greatest(F.lit(0), F.col("__hi1") - F.col("__lo1")) + F.col("__hi2")).cast("long")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.concat(F.slice(words, 1, F.col("__hi2").cast("int")), F.slice(words, (F.col("__lo1") + 1).cast("int"), F.greatest(F.lit(0), F.col("__hi1") - F.col("__lo1")).cast("int"))), " ")

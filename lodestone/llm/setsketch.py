@@ -359,7 +359,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows, of_class = _grouped(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
     stay = rows.join(of_class, "class").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("__k_id"), F.col("k.text_hash").alias("__k_hash"))
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    keyed = docs.withColumn("__dup_key", F.xxhash64("text"))
     has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = keyed.where(has_words).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).unionByName(keyed.where(~has_words)).drop("__hash")
+    kept = keyed.where(has_words).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")) & (F.col("__dup_key") == F.col("__k_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__dup_key"]).unionByName(keyed.where(~has_words)).drop("__dup_key")

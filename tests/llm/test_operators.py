@@ -108,6 +108,7 @@ def test_mix_meets_targets(spark):
     mixed = mixing.mixed_documents(docs(spark, rows))
     n = mixed.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
     assert n == sum(r.taken for r in got) and mixed.columns == docs(spark, rows).columns
+    assert mixed.where("__hash <> 1 or size <> 7 or score <> 0.5").count() == 0
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
