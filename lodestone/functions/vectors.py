@@ -162,9 +162,12 @@ def batch_scores(corpus: DataFrame, queries: np.ndarray, query_ids: list[int], k
             v, s, n = _quantized(np.stack(b[vector].to_numpy()).astype(float))
             score = (qq @ v.T) * np.outer(qs, s) / np.maximum(np.outer(qn, n), 1e-300)
             key = b[ident].to_numpy()
+            score = np.round(score, 6)
             take = min(k, score.shape[1])
+            least = np.partition(score, -take, axis=1)[:, -take]  # ties with the k-th are all looked at
             for row, q in enumerate(ids):
-                best = np.lexsort((key, -np.round(score[row], 6)))[:take]
+                near = np.flatnonzero(score[row] >= least[row])
+                best = near[np.lexsort((key[near], -score[row][near]))[:take]]
                 yield pd.DataFrame({"query_id": q, "id": key[best], "score": score[row, best]})
 
     part = corpus.select(ident, vector).mapInPandas(run, "query_id long, id long, score double")
