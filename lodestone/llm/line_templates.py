@@ -37,8 +37,15 @@ _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
 
 def masked_line(line: Column) -> Column:
     """The line's tokens, joined by one space, with variable ones replaced."""
-    plain = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, _GAP, " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, FIELD)).otherwise(plain)
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    plain = F.trim(F.when(odd, F.regexp_replace(line, _GAP, " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, FIELD)).otherwise(plain)
+
+
+def token_count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _doc_key() -> Column:
@@ -49,9 +56,9 @@ def _doc_key() -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, pos, line, leaf, h): masked lines that have tokens, with hashes of their leaf and of themselves."""
     rows = docs.select(_doc_key().alias("doc"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("doc", "doc_id", "pos", masked_line(F.col("raw")).alias("line")).where("line <> ''")
-    tokens = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return rows.withColumns({"leaf": F.xxhash64(tokens, F.substring_index("line", " ", LEADING)), "h": F.xxhash64("line")})
+    # Blank lines go by a look at the raw line: a filter on the masked one would compute it twice.
+    rows = rows.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc", "doc_id", "pos", masked_line(F.col("raw")).alias("line"))
+    return rows.withColumns({"leaf": F.xxhash64(token_count(F.col("line")), F.substring_index("line", " ", LEADING)), "h": F.xxhash64("line")})
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -62,7 +69,7 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     share it all its tokens are fixed; only leaves with several distinct lines
     are analysed token by token.
     """
-    words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    words = token_count(F.col("line"))
     fields = F.size(F.filter(F.split("line", " "), lambda t: t == FIELD))
     solid = F.when(F.col("line").contains(FIELD), (words - fields) * 2 >= words).otherwise(True)
     hashed, path = staged(_lines(docs).select("doc", "doc_id", "pos", "leaf", "h", solid.alias("solid")), "lines")
