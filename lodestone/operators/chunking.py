@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import DENSE_SCRIPTS, char_ratio_tokens
+from lodestone.functions.text import DENSE_SCRIPTS, quarter_tokens
 
 CHUNK = "doc_id long, chunk_id string, seq int, content string, token_count int, char_start int, char_end int, content_hash string"
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -32,7 +32,8 @@ def tokens(text: str) -> int:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at either end. The pattern for the end begins where a run begins, so inner runs are left at once."""
+    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"(?<!\s)\s+$", "")
 
 
 def format_table(headers: Column, rows: Column) -> Column:
@@ -61,7 +62,7 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
     cut = base.where(~dense).select("doc_id", "t", F.explode(F.sequence(F.lit(0), count - 1)).alias("j"))
     cut = cut.withColumn("char_start", F.col("j") * step).withColumn("char_end", F.least(F.col("char_start") + width, F.length("t")))
     plain = cut.select("doc_id", F.substring("t", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("raw"), "j", "char_start", "char_end")
-    plain = plain.select("doc_id", F.col("j").alias("seq"), trimmed(F.col("raw")).alias("content"), char_ratio_tokens(F.col("raw")).alias("token_count"), "char_start", "char_end")
+    plain = plain.select("doc_id", F.col("j").alias("seq"), trimmed(F.col("raw")).alias("content"), quarter_tokens(F.col("raw")).alias("token_count"), "char_start", "char_end")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -31,7 +31,7 @@ def small(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
 
 def terms(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def matches_filter(metadata: Column, wanted: dict[str, str]) -> Column:
