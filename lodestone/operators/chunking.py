@@ -55,11 +55,13 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
     width = 4 * size + 3
     back = min(max(1, int(width * overlap / size)), width - 1) if overlap else 0
     step = width - back
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), trimmed(F.col("text")).alias("t")).where("t <> ''")
-    dense = F.col("t").rlike(f"[{DENSE_SCRIPTS}]")
+    # Conditions look at the raw text: on the trimmed one they would trim again for every condition.
+    some = docs.where(F.col("text").rlike(r"\S"))
+    dense = F.col("text").rlike(f"[{DENSE_SCRIPTS}]")
+    base = lambda which: some.where(which).select(F.col("doc_id").cast("long").alias("doc_id"), trimmed(F.col("text")).alias("t"))
     n = F.length("t")
     count = F.greatest(F.lit(1), F.ceil((n - width) / step) + 1).cast("int")
-    cut = base.where(~dense).select("doc_id", "t", F.explode(F.sequence(F.lit(0), count - 1)).alias("j"))
+    cut = base(~dense).select("doc_id", "t", F.explode(F.sequence(F.lit(0), count - 1)).alias("j"))
     cut = cut.withColumn("char_start", F.col("j") * step).withColumn("char_end", F.least(F.col("char_start") + width, F.length("t")))
     plain = cut.select("doc_id", F.substring("t", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("raw"), "j", "char_start", "char_end")
     plain = plain.select("doc_id", F.col("j").alias("seq"), trimmed(F.col("raw")).alias("content"), quarter_tokens(F.col("raw")).alias("token_count"), "char_start", "char_end")
@@ -69,7 +71,7 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
             rows = [(i, *w) for i, t in zip(b["doc_id"], b["t"], strict=True) for w in slide(t, size, overlap)]
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "content", "token_count", "char_start", "char_end"])
 
-    other = base.where(dense).mapInPandas(windows, "doc_id long, seq int, content string, token_count int, char_start int, char_end int")
+    other = base(dense).mapInPandas(windows, "doc_id long, seq int, content string, token_count int, char_start int, char_end int")
     out = plain.unionByName(other).where("content <> ''")
     ident = F.concat_ws("_chk_", F.col("doc_id").cast("string"), F.col("seq").cast("string"))
     return out.select("doc_id", ident.alias("chunk_id"), "seq", "content", "token_count", "char_start", "char_end", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))

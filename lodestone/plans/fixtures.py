@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import pii, text
 from lodestone.operators import chunking, context, governance, search, store
 from lodestone.plans.queries import query, r6
-from lodestone.session import table
+from lodestone.session import spread_table as table
 from lodestone.sources import parsers
 
 

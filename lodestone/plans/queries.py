@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import pii, text, vectors
 from lodestone.operators import chunking, context, evaluation, governance, search, store
-from lodestone.session import table
+from lodestone.session import spread_table as table
 from lodestone.sources import parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -29,3 +29,13 @@ def build_session(app: str = "lodestone", cpus: int | None = None) -> SparkSessi
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt to all cores if its file has too few splits to keep them busy (one row group makes one
+    task). Large tables have splits enough and are left as they are."""
+    df = table(spark, sf_dir, name)
+    if name not in ("documents", "pages"):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
