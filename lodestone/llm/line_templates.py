@@ -8,6 +8,8 @@ it there, and a variable field, <*>, otherwise. A line's template is what is lef
 Templates with at least half their tokens fixed that lines of MIN_DOCS documents
 share are recurring: their lines are dropped, save the first (by doc_id, then a
 hash of the text, then position), so that no passage vanishes from the corpus.
+Lines with more fields than that recur only as they stand: those whose own tokens
+MIN_DOCS documents share are dropped in the same way, whatever digits they hold.
 
 Only distinct lines in leaves that hold several of them and that documents share
 are ever cut into tokens; other lines pass by as hashes.
@@ -35,12 +37,17 @@ _GAP = r"[\x20\x09-\x0D]+"
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
 
 
-def masked_line(line: Column) -> Column:
-    """The line's tokens, joined by one space, with variable ones replaced."""
+def plain_line(line: Column) -> Column:
+    """The line's tokens, joined by one space."""
     odd = line.contains("  ")
     for c in "\t\x0b\x0c\r":
         odd = odd | line.contains(c)
-    plain = F.trim(F.when(odd, F.regexp_replace(line, _GAP, " ")).otherwise(line))
+    return F.trim(F.when(odd, F.regexp_replace(line, _GAP, " ")).otherwise(line))
+
+
+def masked_line(line: Column) -> Column:
+    """The line's tokens, joined by one space, with variable ones replaced."""
+    plain = plain_line(line)
     return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, FIELD)).otherwise(plain)
 
 
@@ -54,10 +61,10 @@ def _doc_key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, pos, line, leaf, h): masked lines that have tokens, with hashes of their leaf and of themselves."""
+    """(doc, doc_id, pos, raw, line, leaf, h): lines that have tokens, raw and masked, with hashes of their leaf and of the masked line."""
     rows = docs.select(_doc_key().alias("doc"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     # Blank lines go by a look at the raw line: a filter on the masked one would compute it twice.
-    rows = rows.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc", "doc_id", "pos", masked_line(F.col("raw")).alias("line"))
+    rows = rows.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc", "doc_id", "pos", "raw", masked_line(F.col("raw")).alias("line"))
     return rows.withColumns({"leaf": F.xxhash64(token_count(F.col("line")), F.substring_index("line", " ", LEADING)), "h": F.xxhash64("line")})
 
 
@@ -67,18 +74,20 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     A line is known by the hashes of its leaf and of itself, 128 bits together. In
     a leaf with one distinct line that line is its own template, and if documents
     share it all its tokens are fixed; only leaves with several distinct lines
-    are analysed token by token.
+    are analysed token by token. Lines that are not solid have no template; exact,
+    the hash of the line before masking, finds their repeats.
     """
     words = token_count(F.col("line"))
     fields = F.size(F.filter(F.split("line", " "), lambda t: t == FIELD))
     solid = F.when(F.col("line").contains(FIELD), (words - fields) * 2 >= words).otherwise(True)
-    hashed, path = staged(_lines(docs).select("doc", "doc_id", "pos", "leaf", "h", solid.alias("solid")), "lines")
+    hashed, path = staged(_lines(docs).select("doc", "doc_id", "pos", "leaf", "h", F.when(~solid, F.xxhash64(plain_line(F.col("raw")))).alias("exact")), "lines")
     # Each distinct line with the least and greatest document that has it: enough to know whether there are two.
-    per_line, per_line_path = staged(hashed.groupBy("leaf", "h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.bool_and("solid").alias("solid")), "distinct-lines")
+    per_line, per_line_path = staged(hashed.groupBy("leaf", "h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.bool_and(F.col("exact").isNull()).alias("solid")), "distinct-lines")
     leaves = per_line.groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b")
     several = leaves.where("n > 1").select(F.col("leaf").alias("s_leaf"))
     several, several_path = staged(several, "shared-leaves")
     single = per_line.where("solid").join(leaves.where("n = 1").select("leaf"), "leaf", "left_semi").select("leaf", "h", F.col("h").alias("template"))
+    repeats = hashed.where("exact is not null").groupBy("leaf", "exact").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("leaf", F.col("exact").alias("h"), F.col("exact").alias("template"))
 
     wanted = F.broadcast(several) if several.count() <= BROADCAST_LEAVES else several
     texts = _lines(docs).join(wanted, F.col("leaf") == F.col("s_leaf"), "left_semi").select("leaf", "h", "line").dropDuplicates(["leaf", "h"])
@@ -93,8 +102,8 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     per_template, per_template_path = staged(per_template.where("k * 2 >= n").drop("k", "n"), "templates")
     recurring = per_template.groupBy("leaf", "template").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("leaf", "template")
     analysed = per_template.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h", "template")
-    of_line = analysed.unionByName(single)
-    hits, hits_path = staged(hashed.join(of_line, ["leaf", "h"]).select("doc", "doc_id", "pos", "leaf", "template"), "recurring")
+    of_line = analysed.unionByName(single).unionByName(repeats)
+    hits, hits_path = staged(hashed.withColumn("h", F.coalesce("exact", "h")).join(of_line, ["leaf", "h"]).select("doc", "doc_id", "pos", "leaf", "template"), "recurring")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("doc"), F.col("pos"))
     firsts = hits.groupBy("leaf", "template").agg(F.min(place).alias("keep"))
     drop = hits.join(firsts, ["leaf", "template"]).where(~place.eqNullSafe(F.col("keep"))).select("doc", "pos")

@@ -365,6 +365,14 @@ def test_recurring_lines(spark):
     assert line_templates.drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_exact_repeats_recur_whatever_digits_they_hold(spark):
+    tel, row = "Tel 020 7946 0958 Fax 020 7946 0959", "11 22 33"
+    rows = [(1, f"{tel}\nown one\n{row}"), (2, f"other two\n{tel}"), (3, "Tel 020 1111 2222 Fax 020 3333 4444\n11  22\t33\n44 55 66"), (4, "7 8 9\n7 8 9"), (None, f"{row}\n{tel}\nlast words")]
+    got = {r.doc_id: (list(r.dropped), r.kept_text) for r in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got[1] == ([], rows[0][1]) and got[2] == ([1], "other two") and got[None] == ([0, 1], "last words")
+    assert got[3] == ([1], "Tel 020 1111 2222 Fax 020 3333 4444\n44 55 66") and got[4] == ([], rows[3][1])
+
+
 # 10 decontamination
 
 
