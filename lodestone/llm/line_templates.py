@@ -92,7 +92,7 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     wanted = F.broadcast(several) if several.count() <= BROADCAST_LEAVES else several
     texts = _lines(docs).join(wanted, F.col("leaf") == F.col("s_leaf"), "left_semi").select("leaf", "h", "line").dropDuplicates(["leaf", "h"])
     tokens = texts.join(per_line.drop("solid"), ["leaf", "h"]).select("leaf", "h", "a", "b", F.posexplode(F.split("line", " ")).alias("at", "t"))
-    tokens, tokens_path = staged(tokens.select("leaf", "h", "a", "b", F.col("at").cast("short").alias("at"), F.xxhash64("t").alias("t"), (F.col("t") == FIELD).alias("field")), "line-tokens")
+    tokens, tokens_path = staged(tokens.select("leaf", "h", "a", "b", "at", F.xxhash64("t").alias("t"), (F.col("t") == FIELD).alias("field")), "line-tokens")
     fixed = tokens.groupBy("leaf", "at", "t").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("leaf", "at", "t", F.lit(True).alias("fixed"))
     spelled = tokens.join(fixed, ["leaf", "at", "t"], "left").withColumn("fixed", F.col("fixed").isNotNull())
     # One hash for each position, in order, is the template; a line has as many as its own tokens.

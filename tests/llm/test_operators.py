@@ -373,6 +373,13 @@ def test_exact_repeats_recur_whatever_digits_they_hold(spark):
     assert got[3] == ([1], "Tel 020 1111 2222 Fax 020 3333 4444\n44 55 66") and got[4] == ([], rows[3][1])
 
 
+def test_lines_of_more_tokens_than_a_short_holds(spark):
+    line = ["word"] * 40_000
+    edited = line[:35_000] + ["other"] + line[35_001:]
+    got = {r.doc_id: list(r.dropped) for r in line_templates.drop_recurring_lines(docs(spark, [(1, " ".join(line)), (2, "own line\n" + " ".join(edited)), (3, " ".join(edited))])).collect()}
+    assert got == {1: [], 2: [], 3: [0]}
+
+
 # 10 decontamination
 
 
