@@ -35,7 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a whole run; 24 characters at least
 ASSIGN_CHARS = 6
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 
-BARE = re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
+# A key may stand right after "=", as in lines of an environment; "=" after it is padding of a longer text.
+BARE = re.compile(r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9.-]+\.(?:amazonaws\.com|internal|local)\b")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 WINDOW = 200
