@@ -196,8 +196,8 @@ def ann_cells(vectors: DataFrame, cells: int = 16, seed: int = 42) -> tuple[Data
     return out, [list(map(float, c)) for c in model.clusterCenters()]
 
 
-def ann_search(celled: DataFrame, centres: list, queries: DataFrame, k: int, probe: int = 4) -> DataFrame:
-    """Approximate top-k: only the cells of the `probe` nearest centres are scanned for a query."""
+def ann_search(celled: DataFrame, centres: list, queries: DataFrame, k: int, probe: int = 11) -> DataFrame:
+    """Approximate top-k: only the cells of the `probe` nearest centres are scanned for a query. The default is for 16 cells."""
     spark = celled.sparkSession
     from lodestone.functions.vectors import dot
 

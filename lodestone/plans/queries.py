@@ -147,7 +147,7 @@ def h6_rerank_exact(spark, d):  # noqa: ANN001, ANN201
 def k1_ann_recall(spark, d):  # noqa: ANN001, ANN201
     v, q = _vectors(spark, d), _vector_queries(spark, d)
     celled, centres = search.ann_cells(v, 16)
-    return evaluation.recall_at_k(search.ann_search(celled, centres, q, 10, 8), search.vector_search(v, q, 10), 10)
+    return evaluation.recall_at_k(search.ann_search(celled, centres, q, 10), search.vector_search(v, q, 10), 10)
 
 
 @query()

@@ -48,3 +48,8 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLES) - {"n1_pii_spans"}))
 def test_gives_rows(spark, name):
     assert own.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_index_search_finds_nine_of_ten(spark):
+    found = [r.recall for r in own.QUERIES["k1_ann_recall"](spark, DATA).collect()]
+    assert sum(found) / len(found) >= 0.9
