@@ -2,9 +2,9 @@
 
 Base detectors find single secrets. Weak candidates (a bare 40-character token, a
 service endpoint) mean nothing alone; they are reported only where complementary
-parts of one credential stand close together. Parts are intervals of a text; two
+parts of one credential stand together. Parts are intervals of a text; two
 parts link if they lie in the same scope (a run of lines without a blank line
-between) and the gap between them is at most WINDOW code points. The interval
+between), however far apart. The interval
 join sorts each side by position and walks a window over it, so it costs one
 pass and a binary search for each part, however many parts a text has.
 
@@ -39,7 +39,8 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 BARE = re.compile(r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9.-]+\.(?:amazonaws\.com|internal|local)\b")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
-WINDOW = 200
+#: Code points between two parts that link: more than a text can hold, so that the scope alone bounds the join.
+WINDOW = 2**31
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, parts array<struct<kind:string,start:long,end:long>>"
 
