@@ -136,7 +136,7 @@ def parse_html(pages: DataFrame, doc_id: str = "page_id", html: str = "html", mo
     lines = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(html_lines(F.col(html), mode)).alias("line_no", "raw"))
     if mode == "block":
         lines = lines.select("doc_id", "line_no", F.regexp_replace("raw", r"(?i)(<tr\b)", "\n$1").alias("raw"))
-        lines = lines.select("doc_id", "line_no", F.posexplode(F.split("raw", "\n")).alias("part", "raw")).select("doc_id", (F.col("line_no") * 1000 + F.col("part")).cast("long").alias("line_no"), "raw")
+        lines = lines.select("doc_id", "line_no", F.posexplode(F.split("raw", "\n")).alias("part", "raw")).select("doc_id", (F.col("line_no").cast("long") * 2**31 + F.col("part")).alias("line_no"), "raw")
     level = F.regexp_extract("raw", r"(?i)<h([1-6])\b", 1)
     cells = F.transform(F.regexp_extract_all("raw", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</\s*t[dh]\s*>"), F.lit(1)), clean_html)
     text = clean_html(F.col("raw"))

@@ -118,3 +118,12 @@ def test_office_formats_and_limits(spark):
 def test_synthetic_vectors_repeat():
     a, b = vectors.synthesize([1, 20, 2], 8), vectors.synthesize([1, 20, 2], 8)
     assert np.array_equal(a, b) and np.all(np.abs(a) <= 1)
+
+
+def test_long_html_tables_stay_whole(spark):
+    from lodestone.sources.parsers import parse_html
+
+    rows = "".join(f"<tr><td>a{i}</td><td>b{i}</td></tr>" for i in range(2500))
+    page = f"<h1>Title</h1><p>before</p><table>{rows}</table><p>after one</p><h2>Next</h2><p>after two</p>"
+    got = [(r.kind, r.text, r.section, len(r.rows or [])) for r in parse_html(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("ord").collect()]
+    assert got == [("heading", "Title", "Title", 0), ("text", "before", "Title", 0), ("table", None, "Title", 2499), ("text", "after one", "Title", 0), ("heading", "Next", "Next", 0), ("text", "after two", "Next", 0)]
