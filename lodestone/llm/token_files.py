@@ -11,17 +11,17 @@ start (in the shard) and n_tokens of its documents. Ids are stored as unsigned
 
 Documents are ordered by doc_id over all shards (null first; repeated ids by a
 hash of their text; equal rows are interchangeable). A null or empty text gives
-the end id alone. An empty table gives an empty manifest and no rows. Extra
-columns are ignored, whatever their names.
+the end id alone. A very long text is encoded whole, in one go, so that a worker
+needs some ten times its size. An empty table gives an empty manifest and no rows.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ END_ID = 1
 SEQUENCE = 2048
 BATCH = 128
 #: Texts are encoded so many bytes at a time.
-SLICE_BYTES = 4_000_000
-WORD_CACHE, PIECE_CACHE = 300_000, 200_000
+SLICE_BYTES = 8_000_000
+#: A worker remembers the ids of pieces up to about this many bytes.
+CACHE_BYTES = 24_000_000
 
 MANIFEST = "part long, path string, index_path string, docs long, tokens long, sequences long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -45,42 +46,86 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # A word of letters with plain punctuation about it. Letters are ASCII or precomposed Latin-1, which
 # normalisation leaves alone and lower-casing maps one to one; "<" could begin a special token and an
 # apostrophe a contraction, so words with them go the long way.
-_PLAIN = re.compile(r"""([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)""")
+_MARKS = r"""[!-&(-/:;=-@\[-`{-~]*"""
+_PLAIN = rf"^(?P<before>{_MARKS})(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>{_MARKS})$"
 _BYTE_CHARS = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
 _BYTE_CHARS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTE_CHARS)}
 
 
-def splits_on_white_space(spec: dict) -> bool:
-    """Whether a tokenizer, given as its JSON, maps a text to the ids of its white-space separated words in a row.
+#: Fixed value: the split of the tokenizers that work word by word. No alternative takes white space in.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+
+def splits_on_white_space(tokenizer) -> bool:  # noqa: ANN001
+    """Whether a tokenizer maps a text to the ids of its white-space separated words in a row.
 
     True for a BPE over pieces that a Split keeps, when no piece spans white space
-    and each normalizer works on its own characters and their marks.
+    and each normalizer works on its own characters and their marks. Asks the parts
+    for their settings, so that the vocabulary is not read a second time.
     """
-    norm, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-    kinds = [n.get("type") for n in norm.get("normalizers", [])]
-    steps = pre.get("pretokenizers", [])
+    parts = [json.loads(x.__getstate__()) if x is not None else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    kinds = [n.get("type") for n in parts[0].get("normalizers", [])]
+    steps = parts[1].get("pretokenizers", [])
     return (
         kinds == ["NFC", "Replace", "Lowercase"]
         and len(steps) == 2
         and steps[0].get("type") == "Split"
         and steps[0].get("behavior") == "Removed"
         and steps[0].get("invert") is True
-        and steps[0].get("pattern", {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and steps[0].get("pattern", {}).get("Regex") == _SPLIT
         and steps[1].get("type") == "ByteLevel"
         and steps[1].get("add_prefix_space") is False
         and steps[1].get("use_regex") is False
-        and model.get("type") == "BPE"
-        and not model.get("dropout")
+        and type(tokenizer.model).__name__ == "BPE"
+        and not tokenizer.model.dropout
     )
 
 
+class Remembered:
+    """Ids, as bytes, of the pieces met last. Holds about CACHE_BYTES: when the younger half is full it becomes the older
+    half, and what nothing asked for meanwhile is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.weight = 0
+
+    def find(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The value of each key (keys are distinct), made where it is not remembered."""
+        found = list(map(self.young.get, keys))
+        for i in [i for i, v in enumerate(found) if v is None]:
+            found[i] = self.old.get(keys[i])
+            if found[i] is not None:
+                self._keep(keys[i], found[i])
+        missing = [i for i, v in enumerate(found) if v is None]
+        for i, v in zip(missing, make([keys[i] for i in missing]), strict=True):
+            found[i] = v
+            self._keep(keys[i], v)
+        return found
+
+    def _keep(self, key: str, value: bytes) -> None:
+        # A string and a bytes object each weigh some 50 bytes beside what they hold, their place some 100.
+        weight = 200 + 2 * len(key) + len(value)
+        if self.weight + weight > CACHE_BYTES / 2:
+            self.young, self.old, self.weight = {}, self.young, 0
+        self.young[key] = value
+        self.weight += weight
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions first[i], first[i] + 1, ... of size[i] each, in a row."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the tokenizers library.
 
-    Where the tokenizer works word by word, each distinct word of a slice is
-    encoded once and the ids are put together by index; words of plain letters
-    go to the library's BPE directly, others through its whole pipeline. Results
-    equal those of the whole pipeline on whole texts.
+    Where the tokenizer works word by word, the distinct words of a slice are cut
+    into their letters and the marks about them, each distinct piece goes to the
+    library's BPE once, and the ids are put together by index. Other words go
+    through the library's whole pipeline. Results equal those of the whole
+    pipeline on whole texts.
     """
 
     def __init__(self, path: str):
@@ -88,35 +133,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            self.by_word = splits_on_white_space(json.load(f))
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.by_word = splits_on_white_space(self.tokenizer)
+        self.pieces, self.others = Remembered(), Remembered()
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else np.uint32)
 
-    def _piece(self, s: str) -> tuple[int, ...]:
-        if not s:
-            return ()
-        got = self.pieces.get(s)
-        if got is None:
-            if len(self.pieces) >= PIECE_CACHE:
-                self.pieces.clear()
-            mapped = s if s.isascii() else "".join(map(_BYTE_CHARS.__getitem__, s.encode()))
-            got = self.pieces[s] = tuple(t.id for t in self.model.tokenize(mapped))
-        return got
-
-    def _word(self, w: str) -> tuple[int, ...]:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            m = _PLAIN.fullmatch(w)
-            if m:
-                got = self._piece(m[1]) + self._piece(m[2].lower()) + self._piece(m[3])
-            else:
-                got = tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
-            self.words[w] = got
-        return got
+    def _packed(self, lists: list[list[int]]) -> list[bytes]:
+        data = np.fromiter(chain.from_iterable(lists), self.dtype).tobytes()
+        ends = (np.cumsum([0, *map(len, lists)]) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in pairwise(ends)]
+
+    def _pieces(self, found: list[str]) -> list[bytes]:
+        """Ids of lower-case letters or of marks, by the BPE alone."""
+        byte_char, bpe = _BYTE_CHARS.__getitem__, self.model.tokenize
+        mapped = (s if s.isascii() else "".join(map(byte_char, s.encode())) for s in found)
+        return self._packed([[t.id for t in bpe(s)] if s else [] for s in mapped])
+
+    def _words(self, found: list[str]) -> list[bytes]:
+        """Ids of any words, by the whole pipeline."""
+        return self._packed([self.tokenizer.encode(w, add_special_tokens=False).ids for w in found])
+
+    def _table(self, values: pa.Array, held: Remembered, make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids of the distinct values in a row, the number of ids of each, the place of each value among them)."""
+        coded = values.dictionary_encode()
+        lists = held.find(coded.dictionary.to_pylist(), make)
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(lists), self.dtype), size, coded.indices.to_numpy()
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in a row, the number of ids of each)."""
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = pc.is_valid(parts)
+        kept = parts.filter(plain)
+        before, letters, after = (kept.field(k) for k in ("before", "letters", "after"))
+        data, size, at = self._table(pa.concat_arrays([before, pc.utf8_lower(letters), after]), self.pieces, self._pieces)
+        odd_data, odd_size, odd_at = self._table(words.filter(pc.invert(plain)), self.others, self._words)
+        # A word is three entries of one table: its pieces, or itself and twice the empty entry at the end.
+        n, plain = len(kept), plain.to_numpy(zero_copy_only=False)
+        size = np.concatenate([size, odd_size, [0]])
+        entry = np.full((len(words), 3), len(size) - 1)
+        entry[plain] = at.reshape(3, n).T
+        entry[~plain, 0] = odd_at + (len(size) - 1 - len(odd_size))
+        first = np.cumsum(size) - size
+        flat = entry.ravel()
+        return np.concatenate([data, odd_data])[_runs(first[flat], size[flat])], size[entry].sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -128,17 +187,12 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        lists = [self._word(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), self.dtype, int(size.sum()))
-        first = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else np.zeros(0, np.int64)
+        flat, size = self._distinct(coded.dictionary)
+        first = np.cumsum(size) - size
         at = coded.indices.to_numpy()
         n = size[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(total)]
-        upto = np.concatenate([[0], ends])
-        return ids, upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return flat[_runs(first[at], n)], upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -249,8 +303,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], end_i
                 {"part": [TaskContext.get().partitionId()], "path": [path], "index_path": [path.removesuffix(".arrow") + ".index.arrow"], "docs": [shard.docs], "tokens": [shard.tokens], "sequences": [shard.sequences]}
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # Equal rows are told apart by their place, so that a row repeated without end does not fill one range.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return staged(ordered.mapInArrow(write, MANIFEST), "token-manifest")[0]
 

@@ -71,11 +71,38 @@ def test_tokens_equal_the_library_and_read_back(spark):
         v = ids(x)
         want.append((doc_id, start, len(v), zlib.crc32(v.tobytes())))
         start += len(v)
-    key = lambda r: r[1]
-    assert sorted((tuple(r) for r in got), key=key)[:1] == want[:1]
-    assert {(r[0], r[2], r[3]) for r in got} == {(w[0], w[2], w[3]) for w in want} and len(got) == len(want)
-    ends = sorted(r.start + r.n_tokens for r in got)
-    assert ends[-1] == start and sorted(r.start for r in got)[1:] == ends[:-1]
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_many_equal_rows_are_dealt_to_several_shards(spark):
+    from tokenizers import Tokenizer
+
+    n = len(Tokenizer.from_file(tokenizer_path()).encode("the same text", add_special_tokens=False).ids) + 1
+    rows = spark.range(0, 40_000, numPartitions=4).select(F.lit(7).alias("doc_id"), F.lit("the same text").alias("text"), F.lit(0).alias("tie"))
+    manifest = token_files.write_tokens(rows, tokenizer_path)
+    assert manifest.count() > 1 and manifest.agg(F.max("docs")).first()[0] < 30_000
+    got = token_files.read_tokens(manifest)
+    assert sorted(r.start for r in got.collect()) == list(range(0, 40_000 * n, n))
+
+
+def test_word_by_word_encoding_equals_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 40_000)
+    enc = token_files.Encoder(tokenizer_path())
+    assert enc.by_word
+    rng = random.Random(21)
+    marks, letters = list("!-.,'\"<>|#$%&()~`^_[]{}\\/=+*@?:;"), list("abcXYZéÉßñÜÿÀ×÷ſİ日ё\u0301\u00b2\u212a")
+    word = lambda: "".join(rng.choice(marks if rng.random() < 0.3 else letters) if rng.random() < 0.97 else rng.choice("019٣½") for _ in range(rng.randrange(1, 12)))
+    gap = lambda: rng.choice([" ", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r\n", "\x1c", "\u0085", "\u00a0", "\u2003"])
+    for _ in range(20):
+        texts = ["".join(word() + gap() for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "<|endoftext|> x<|startoftext|>", "it's WE'LL 's"]
+        ids, sizes = enc.encode(pa.array([*texts, None]))
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert sizes.tolist() == [*map(len, want), 0] and ids.tolist() == [i for x in want for i in x]
+    assert enc.pieces.weight <= 20_000 and len(enc.pieces.old)
 
 
 def test_token_shards_give_random_access(spark):
