@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, quality, setsketch, token_files
-from lodestone.llm.common import remove, staged
+from lodestone.llm.common import discarding, remove, scratch_path
 from lodestone.llm.queries import tokenizer_path
 from lodestone.session import table
 
@@ -58,11 +58,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, path = staged(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        path = scratch_path(spark, name.replace(" ", "-").replace("/", "-"))
+        with discarding(spark):  # what a stage staged goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
         if before:
             remove(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)  # the token files are written
+    return out
 
 
 #: SQL can express neither the fitted classifier nor the tokenizer; the stages are tested against brute force.

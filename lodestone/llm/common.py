@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -41,10 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+#: Staged tables that nothing has removed yet, oldest first.
+_tables: dict[str, None] = {}
+
+
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again: the lineage ends there and a
     lost executor costs a reread, not a recomputation. Returns the table and its path."""
     path = scratch_path(df.sparkSession, name)
+    _tables[path] = None
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -52,10 +60,44 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes staged tables that no later result reads."""
     for p in paths:
+        _tables.pop(p, None)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Removes what was staged inside and is still there, on success and on failure. An operator's result reads its last
+    staged tables, so write the result before the block ends."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        remove(spark, *[p for p in _tables if p not in before])
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: each row's place, from 1, in its group by `order`, which must leave no ties.
+
+    No task sees a whole group: rows are dealt by ranges of group and order, and a
+    row's place is its place in its range after the group's rows in the ranges
+    before. The number of counts is that of ranges and groups together.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt, _ = staged(rows.repartitionByRange(n, *[F.col(c) for c in group], *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__range", *group).agg(F.count("*").alias("__count"))
+    ahead = F.sum("__count").over(W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    ahead = counts.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__r_{c}") for c in group], F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    here = dealt.withColumn("__here", F.row_number().over(W.partitionBy("__range", *group).orderBy(*order)))
+    same = (F.col("__range") == F.col("__r")) & and_all(F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in group)
+    placed = here.join(ahead, same).withColumn(name, F.col("__ahead") + F.col("__here"))
+    return placed.drop("__range", "__here", "__ahead", "__r", *[f"__r_{c}" for c in group])
+
+
+def and_all(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 #: A graph of at most so many edges is finished by one task, in bounded memory.
 ONE_TASK_EDGES = 300_000
 

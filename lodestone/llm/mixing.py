@@ -10,8 +10,10 @@ a seeded random order, such a run is a seeded sample of them.
 
 Defined results: a null or blank text has size 0 and gives no words; a null source
 is a source of its own, last in order; a null doc_id is a value like others; equal
-rows are interchangeable and each is counted; an empty table gives an empty
-result. The input's other columns are ignored, whatever their names.
+rows are interchangeable and each is counted; a very long text is one row of its
+shard, counted whole; an empty table gives an empty result. The input's other
+columns are ignored, whatever their names. The level that caps the sources is
+found by one task from a row of numbers for each source.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, remove, staged
+from lodestone.llm.common import WORD, and_all, ranked, staged
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 65_536
@@ -30,17 +32,24 @@ SHARE = 1.5
 CAP = 2
 
 
+def with_totals(rows: DataFrame, group: list[str], **sums: Column) -> DataFrame:
+    """Adds aggregates of a row's group to it. They are few, so that Spark can send them to the rows."""
+    of = rows.groupBy(*group).agg(*[c.alias(k) for k, c in sums.items()])
+    of = of.select(*[F.col(c).alias(f"__of_{c}") for c in group], *sums)
+    return rows.join(of, and_all(F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group)).drop(*[f"__of_{c}" for c in group])
+
+
 def seats(parties: DataFrame, votes: str, total: str, group: list[str], name: str) -> DataFrame:
     """Adds `name`: each party's seats by Sainte-Lague out of `total` (a column, equal within a group).
 
     Each party's number of seats lies within p(n/2) + 1 of its exact share, where
     p is its share of the votes and n the number of parties, so only quotients
     in that range compete; those below it are won beyond doubt. The rows made are
-    five for each party, whatever the number of seats. Ties: by more votes, then
-    by the party's order, given in the column __order.
+    five for each party, whatever the number of seats, and no task ranks a whole
+    group. Ties: by more votes, then by the party's order, given in the column
+    __order.
     """
-    by = W.partitionBy(*group)
-    p = parties.withColumns({"__p": F.col(votes) / F.sum(votes).over(by), "__n": F.count("*").over(by)})
+    p = with_totals(parties, group, __sum=F.sum(votes), __n=F.count("*")).withColumn("__p", F.col(votes) / F.col("__sum"))
     half = F.col("__p") * F.col("__n") / 2 + 1
     p = p.withColumns(
         {
@@ -48,17 +57,18 @@ def seats(parties: DataFrame, votes: str, total: str, group: list[str], name: st
             "__most": F.coalesce(F.ceil(F.col("__p") * F.col(total) + half).cast("long"), F.lit(0)),
         }
     )
-    p = p.withColumn("__left", F.col(total) - F.sum("__sure").over(by))
+    p, _ = staged(p, "parties")
+    p = with_totals(p, group, __sures=F.sum("__sure")).withColumn("__left", F.col(total) - F.col("__sures"))
     bids = p.where(F.col(votes) > 0).select(
         *group, "__order", F.col(votes).alias("__v"), "__left", F.explode(F.sequence(F.col("__sure") + 1, F.greatest(F.col("__most"), F.col("__sure") + 1))).alias("__k")
     )
-    rank = F.row_number().over(by.orderBy((F.col("__v") / (2 * F.col("__k") - 1)).desc(), F.col("__v").desc(), "__order", "__k"))
-    won = bids.withColumn("__rank", rank).where("__rank <= __left").groupBy(*group, "__order").agg(F.count("*").alias("__won"))
+    bids = bids.withColumn("__quotient", F.col("__v") / (2 * F.col("__k") - 1))
+    places = ranked(bids, group, [F.col("__quotient").desc(), F.col("__v").desc(), F.col("__order"), F.col("__k")], "__rank")
+    won = places.where("__rank <= __left").groupBy(*group, "__order").agg(F.count("*").alias("__won"))
     keys = [*group, "__order"]
     won = won.select(*[F.col(c).alias(f"__w_{c}") for c in keys], "__won")
-    same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in keys]
-    out = p.join(won, same, "left").drop(*[f"__w_{c}" for c in keys])
-    return out.withColumn(name, F.col("__sure") + F.coalesce("__won", F.lit(0))).drop("__p", "__n", "__sure", "__most", "__left", "__won")
+    out = p.join(won, and_all(F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in keys), "left").drop(*[f"__w_{c}" for c in keys])
+    return out.withColumn(name, F.col("__sure") + F.coalesce("__won", F.lit(0))).drop("__p", "__n", "__sum", "__sure", "__sures", "__most", "__left", "__won")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -82,26 +92,31 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.withColumn("target", F.least("__cap", F.coalesce(F.col("__final") * F.col("__w"), F.col("__cap"))))
 
 
-def mix_plan(docs: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """For each document: doc_id, size, source, source_size, target, taken, and the parts that make
+def size_documents(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, source, size, draw) of docs, and more: number of words, and the digest that stands for a random draw. Staged."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    draw = F.md5(F.concat(F.lit(SEED), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
+    return staged(docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), *more), "sizes")[0]
+
+
+def mix_plan(sized: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """For each sized document: doc_id, size, source, source_size, target, taken, and the parts that make
     up taken: passes (times it is taken whole) and the word ranges [lo1, hi1) and [0, hi2) of it.
 
-    Returns the plan and the staged tables behind it. `extra` columns are carried.
+    `extra` columns are carried.
     """
     extra = extra or []
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    draw = F.md5(F.concat(F.lit(SEED), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
-    sized, path = staged(docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), *extra), "sizes")
+    sized = sized.select("doc_id", "source", "size", "draw", *extra)
     t = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     one = W.partitionBy(F.lit(1))
     t = t.withColumn("__votes", F.col("target")).withColumn("__total_seats", F.round(F.sum("target").over(one) / BLOCK_WORDS).cast("long")).withColumn("__all", F.lit(1))
     t = seats(t, "__votes", "__total_seats", ["__all"], "source_seats")
     t = t.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
-    t, t_path = staged(t.select(F.col("source").alias("s_source"), "source_size", "target", "source_seats", "shards"), "targets")
+    t, _ = staged(t.select(F.col("source").alias("s_source"), "source_size", "target", "source_seats", "shards"), "targets")
 
     shard = F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.col("shards"))
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", shard)
-    rows, rows_path = staged(rows.drop("s_source"), "sharded")
+    rows, _ = staged(rows.drop("s_source"), "sharded")
     parts = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_words"), F.first("source_seats").alias("source_seats")).withColumn("__order", F.col("shard"))
     parts = seats(parts, "shard_words", "source_seats", ["source"], "quota")
     parts = parts.select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), "quota")
@@ -130,32 +145,35 @@ def mix_plan(docs: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame
     )
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.col("hi1") - F.col("lo1")) + F.col("hi2")
     d = d.withColumn("taken", taken.cast("long"))
-    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "lo1", "hi1", "hi2", *extra), [path, t_path, rows_path]
+    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "lo1", "hi1", "hi2", *extra)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of documents."""
-    return mix_plan(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mix_plan(size_documents(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken whole and
     one for the part taken beside that. Of a part the text holds the taken words, joined by one space.
     n_chars, if docs has it, follows the text. Documents of which nothing is taken are left out.
+
+    Rows get a number when they are staged with their sizes. The plan is made of numbers and sizes
+    alone, and the texts are shuffled once, to meet it. A repeat is a row of a small sequence; texts
+    are never put into arrays, and only those cut by an end of a run are cut into words. Null and
+    blank texts are never taken; equal rows are planned one by one; an empty table gives no rows;
+    columns of docs may have any names, as they travel inside a struct; a very long text is one row
+    of its shard, of which words are taken like others.
     """
-    by = W.partitionBy("doc_id", "__mix_key").orderBy("__mix_key")
-    keyed = docs.withColumn("__mix_key", F.xxhash64("text"))
-    plan, _ = mix_plan(keyed, ["__mix_key"])
-    parts = plan.where("taken > 0").select("doc_id", "__mix_key", "size", "passes", "lo1", "hi1", "hi2").withColumn("__n", F.row_number().over(by))
-    parts = parts.select(F.col("doc_id").alias("__p_id"), F.col("__mix_key").alias("__p_hash"), F.col("__n").alias("__p_n"), *[F.col(c).alias(f"__{c}") for c in ("size", "passes", "lo1", "hi1", "hi2")])
-    rows = keyed.withColumn("__n", F.row_number().over(by))
-    both = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("__p_id")) & F.col("__mix_key").eqNullSafe(F.col("__p_hash")) & (F.col("__n") == F.col("__p_n")))
-    part = (F.greatest(F.lit(0), F.col("__hi1") - F.col("__lo1")) + F.col("__hi2")).cast("long")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.concat(F.slice(words, 1, F.col("__hi2").cast("int")), F.slice(words, (F.col("__lo1") + 1).cast("int"), F.greatest(F.lit(0), F.col("__hi1") - F.col("__lo1")).cast("int"))), " ")
-    piece = F.when(part == F.col("__size"), F.col("text")).when(part > 0, cut)
-    texts = F.concat(F.array_repeat("text", F.col("__passes").cast("int")), F.when(part > 0, F.array(piece)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("__texts", texts).select(*[F.col(c) for c in docs.columns if c != "text"], F.explode("__texts").alias("text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    sized = size_documents(docs, F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    part = F.greatest(F.lit(0), F.col("hi1") - F.col("lo1")) + F.col("hi2")
+    plan = mix_plan(sized, ["row"]).where("taken > 0").select(F.col("row").alias("of_row"), "size", "passes", "lo1", "hi1", "hi2", part.alias("part"))
+    both = sized.select("row", "doc").join(plan, F.col("row") == F.col("of_row"))
+    times = both.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0))))
+    words = F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.filter(words, lambda _, i: (i < F.col("hi2")) | ((i >= F.col("lo1")) & (i < F.col("hi1")))), " ")
+    text = F.when((F.col("nth") <= F.col("passes")) | (F.col("part") == F.col("size")), F.col("doc.text")).otherwise(cut)
+    out = times.select("doc", text.alias("text"))
+    n_chars = F.length("text")
+    new = {"text": F.col("text")} | ({"n_chars": n_chars.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -127,7 +127,7 @@ def test_mix_meets_targets(spark):
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
     again = mixing.mix(docs(spark, rows)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    plan = mixing.mix_plan(docs(spark, rows))[0].groupBy("source").agg(F.first("source_size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    plan = mixing.mix_plan(mixing.size_documents(docs(spark, rows))).groupBy("source").agg(F.first("source_size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
     total = sum(r["size"] for r in plan)
     assert abs(sum(r.target for r in plan) - 1.5 * total) < 1e-6
     for r in plan:
