@@ -13,8 +13,9 @@ identifier) and endpoint (a host next to an access identifier and a secret or an
 assignment).
 
 Defined results: a null text has no spans; equal rows are scanned alike; an empty
-table gives an empty result; offsets count code points, end exclusive. Extra
-columns are ignored, whatever their names.
+table gives an empty result; offsets count code points, end exclusive. A very long
+text is scanned whole, in time that grows with its length alone, whatever it holds.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 
 # A key may stand right after "=", as in lines of an environment; "=" after it is padding of a longer text.
 BARE = re.compile(r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9.-]+\.(?:amazonaws\.com|internal|local)\b")
+# An endpoint is an address with its scheme, or else a host name from a word's edge to the last of these endings.
+ADDRESS = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?")
+HOST_END = re.compile(r"\.(?:amazonaws\.com|internal|local)\b")
+HOST_RUN = re.compile(r"[a-z0-9.-]+")
+EDGE = re.compile(r"\b")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 #: Code points between two parts that link: more than a text can hold, so that the scope alone bounds the join.
 WINDOW = 2**31
@@ -75,6 +80,33 @@ def near(sides: list[Span], others: list[Span], scope: list[int]) -> list[bool]:
     return found
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses and host names, leftmost first, none inside another.
+
+    Every character is looked at a fixed number of times: a run of host characters
+    holds one host name at most, which ends at the run's last ending, so no run is
+    searched again from each of its characters.
+    """
+    out = [m.span() for m in ADDRESS.finditer(text)]
+    ends = [m.span() for m in HOST_END.finditer(text)]
+    if not ends:
+        return out
+    taken = iter([*out, (len(text) + 1, len(text) + 1)])
+    low, (start, end) = 0, next(taken)
+    k = 0
+    for run in HOST_RUN.finditer(text):
+        last = None
+        while k < len(ends) and ends[k][0] < run.end():
+            last, k = ends[k], k + 1
+        while start < run.start():  # an address that begins inside the run begins after its host name
+            low, (start, end) = end, next(taken)
+        if last:
+            edge = EDGE.search(text, max(run.start(), low), last[0])
+            if edge and edge.start() < last[0]:
+                out.append((edge.start(), last[1]))
+    return sorted(out)
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates that complementary parts vouch for."""
     access = [s for s in base if s[2] == "access"]
@@ -91,7 +123,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     bare = [(*m.span(), "secret") for m in BARE.finditer(text) if free(*m.span()) and _mixed(m[0])]
     secrets = [s for s, ok in zip(bare, near(bare, access, scope), strict=True) if ok]
     vouch = secrets + [s for s in base if s[2] == "assign"]
-    hosts = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
+    hosts = [(*span, "endpoint") for span in endpoints(text)]
     both = zip(hosts, near(hosts, access, scope), near(hosts, vouch, scope), strict=True)
     return secrets + [s for s, a, v in both if a and v]
 
