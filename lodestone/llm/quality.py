@@ -10,10 +10,17 @@
 Only labels with quality 0 or 1 count. Labels, language, source and ids are never
 statistics. Fitting is deterministic: the sample is that of the smallest hashes.
 
+The sample is the only bounded thing: MAX_LABELLED rows of labels, those with the
+smallest hashes of their doc_id, and of documents with equal doc_id the one whose
+text has the smallest hash. Trees split as finely as the sample allows, from two
+rows of each class on; there is no size below which the model is another.
+
 Defined results: null and empty texts have the statistics of an empty text and
-get a score like others; equal texts get equal scores; with no usable label the
-score is 0.5, with one class its smoothed share; an empty table gives an empty
-result. Scoring keeps the input's columns and adds only the named ones.
+get a score like others; a very long text is read whole, in one pass; equal texts
+get equal scores; a label whose document is missing does not count; repeated
+labels count as often as they stand; with no usable label the score is 0.5, with
+one class its smoothed share; an empty table gives an empty result. Scoring keeps
+the input's columns and adds only the named ones.
 """
 
 from dataclasses import dataclass
@@ -28,6 +35,8 @@ from pyspark.sql import types as T
 #: At most so many labelled rows fit the model; each gives a few hundred bytes to the driver.
 MAX_LABELLED = 20_000
 TREES, DEPTH, BINS, RATE = 30, 3, 48, 0.3
+#: Rows in a leaf of a tree: a twentieth of all rows, but no more than this.
+LEAF = 10
 LAMBDAS = (0.03, 0.01, 0.004, 0.0015, 0.0006)
 THRESHOLD = 0.3
 
@@ -130,22 +139,23 @@ def grow_rules(x: np.ndarray, y: np.ndarray) -> tuple[Rule, ...]:
     bins = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], 1)
     base = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     z = np.full(len(y), np.log(base / (1 - base)))
+    leaf = max(1, min(LEAF, len(y) // 20))
     rules: dict[Rule, None] = {}
     for _ in range(TREES):
         p = _logistic(z)
         g, h = y - p, np.maximum(p * (1 - p), 1e-6)
         step = np.zeros(len(y))
-        _grow(np.arange(len(y)), {}, 0, bins, cuts, g, h, rules, step)
+        _grow(np.arange(len(y)), {}, 0, leaf, bins, cuts, g, h, rules, step)
         z = z + RATE * step
     return tuple(rules)
 
 
-def _grow(rows: np.ndarray, bounds: dict[int, tuple[float, float]], depth: int, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rules: dict[Rule, None], step: np.ndarray) -> None:
+def _grow(rows: np.ndarray, bounds: dict[int, tuple[float, float]], depth: int, leaf: int, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rules: dict[Rule, None], step: np.ndarray) -> None:
     if depth:
         rules.setdefault(tuple((k, *bounds[k]) for k in sorted(bounds)))
     total_g, total_h = g[rows].sum(), h[rows].sum()
     best = (1e-3, -1, -1)
-    if depth < DEPTH and len(rows) >= 20:
+    if depth < DEPTH and len(rows) >= 2 * leaf:
         for k, c in enumerate(cuts):
             if not len(c):
                 continue
@@ -153,7 +163,7 @@ def _grow(rows: np.ndarray, bounds: dict[int, tuple[float, float]], depth: int,
             left_h = np.cumsum(np.bincount(bins[rows, k], h[rows], len(c) + 1))[:-1]
             n = np.cumsum(np.bincount(bins[rows, k], minlength=len(c) + 1))[:-1]
             gain = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h + 1) - total_g**2 / (total_h + 1)
-            gain[(n < 10) | (len(rows) - n < 10)] = 0
+            gain[(n < leaf) | (len(rows) - n < leaf)] = 0
             i = int(gain.argmax())
             if gain[i] > best[0]:
                 best = (float(gain[i]), k, i)
@@ -164,8 +174,8 @@ def _grow(rows: np.ndarray, bounds: dict[int, tuple[float, float]], depth: int,
     low, high = bounds.get(k, (-np.inf, np.inf))
     cut = float(cuts[k][i])
     left = bins[rows, k] <= i
-    _grow(rows[left], bounds | {k: (low, min(high, cut))}, depth + 1, bins, cuts, g, h, rules, step)
-    _grow(rows[~left], bounds | {k: (max(low, cut), high)}, depth + 1, bins, cuts, g, h, rules, step)
+    _grow(rows[left], bounds | {k: (low, min(high, cut))}, depth + 1, leaf, bins, cuts, g, h, rules, step)
+    _grow(rows[~left], bounds | {k: (max(low, cut), high)}, depth + 1, leaf, bins, cuts, g, h, rules, step)
 
 
 @dataclass(frozen=True)
@@ -206,18 +216,23 @@ def lasso_logistic(data: Patterns, lam: float, start: np.ndarray | None = None,
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
-    """x: statistics, y: 0 or 1. Every fifth row chooses the penalty."""
+    """x: statistics, y: 0 or 1. Every fifth row of each class chooses the penalty; where no class has five rows, those
+    that fit the rules choose it too."""
     n, ones = len(y), float(y.sum())
-    if n < 50 or ones in (0, n):
+    if ones in (0, n):
         share = (ones + 1) / (n + 2)
         return RuleModel(float(np.log(share / (1 - share))), (), ())
-    test = np.arange(n) % 5 == 0
+    nth = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+    test = nth % 5 == 0
     rules = grow_rules(x[~test], y[~test])
+    if not rules:  # no statistic tells any two rows apart
+        return RuleModel(float(np.log(ones / (n - ones))), (), ())
     r = rule_values(rules, x)
     _, first = np.unique(r.astype(np.uint8), axis=1, return_index=True)  # of rules that hold for the same rows, the first
     first = np.sort(first)
     rules, r = tuple(rules[j] for j in first), r[:, first]
-    train, check = Patterns.of(r[~test], y[~test]), Patterns.of(r[test], y[test])
+    train = Patterns.of(r[~test], y[~test])
+    check = Patterns.of(r[test], y[test]) if test.any() else train
     w, best, lam = None, np.inf, LAMBDAS[0]
     for candidate in LAMBDAS:
         w = lasso_logistic(train, candidate, w)
@@ -240,10 +255,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
         .orderBy("__h", "__id", "__y")
         .limit(MAX_LABELLED)
     )
-    # MAX_LABELLED rows of three numbers: under 1 MB, whatever the corpus.
-    found = docs.select(docs["doc_id"].alias("__doc"), docs["text"].alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    rows = found.select("__h", "__id", "__y", stats_column(F.col("__text")).alias("s")).select("__h", "__id", "__y", "s.*").toPandas()
-    rows = rows.sort_values(["__h", "__id", "__y", *STATS]).head(2 * MAX_LABELLED)
+    # MAX_LABELLED rows of three numbers: under 1 MB, whatever the corpus. One document stands for each doc_id, so that
+    # no more rows than these reach the driver, however often an id repeats.
+    wanted = F.broadcast(sample.select(F.col("__id").alias("__doc")).distinct())
+    texts = docs.select(docs["doc_id"].alias("__doc"), docs["text"].alias("__text")).join(wanted, "__doc", "left_semi")
+    one = texts.groupBy("__doc").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("text")))["text"].alias("__text"))
+    rows = one.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__h", "__id", "__y", stats_column(F.col("__text")).alias("s"))
+    rows = rows.select("__h", "__id", "__y", "s.*").toPandas().sort_values(["__h", "__id", "__y"])
     return fit_rules(rows[list(STATS)].to_numpy(float), rows["__y"].to_numpy(float))
 
 
