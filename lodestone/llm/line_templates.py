@@ -17,7 +17,8 @@ are ever cut into tokens; other lines pass by as hashes.
 Defined results: a null text has no lines and stays null; lines without tokens are
 kept; a document whose lines are all dropped has an empty text; rows with equal
 doc_id and text are one document and get equal results; null doc_ids come last;
-an empty table gives an empty result.
+a very long text is cut into its lines and each is looked at once; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
-    """(doc, pos) of the lines to drop, and the staged table behind it.
+    """(doc, doc_id, pos) of the lines to drop, and the staged table behind it.
 
     A line is known by the hashes of its leaf and of itself, 128 bits together. In
     a leaf with one distinct line that line is its own template, and if documents
@@ -105,8 +106,10 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     of_line = analysed.unionByName(single).unionByName(repeats)
     hits, hits_path = staged(hashed.withColumn("h", F.coalesce("exact", "h")).join(of_line, ["leaf", "h"]).select("doc", "doc_id", "pos", "leaf", "template"), "recurring")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("doc"), F.col("pos"))
-    firsts = hits.groupBy("leaf", "template").agg(F.min(place).alias("keep"))
-    drop = hits.join(firsts, ["leaf", "template"]).where(~place.eqNullSafe(F.col("keep"))).select("doc", "pos")
+    firsts = hits.groupBy("leaf", "template").agg(F.min(place).alias("keep")).select(F.col("keep.doc").alias("k_doc"), F.col("keep.doc_id").alias("k_id"), F.col("keep.pos").alias("k_pos"))
+    # A line's place names it alone, so a template that fills the corpus does not meet in one task.
+    first = (F.col("doc") == F.col("k_doc")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("pos") == F.col("k_pos"))
+    drop = hits.join(firsts, first, "left_anti").select("doc", "doc_id", "pos")
     remove(docs.sparkSession, path, per_line_path, several_path, tokens_path, per_template_path)
     return drop, hits_path
 
@@ -114,10 +117,14 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) with n_lines, n_dropped, dropped (positions from 0) and kept_text added."""
     drop, _ = recurring_lines(docs.select("doc_id", "text"))
-    per_doc = drop.groupBy(F.col("doc").alias("__d")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    per_doc = drop.groupBy(F.col("doc").alias("__d"), F.col("doc_id").alias("__d_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     keyed = docs.drop("n_lines", "n_dropped", "dropped", "kept_text").withColumn("__key", _doc_key())
-    out = keyed.join(per_doc, F.col("__key") == F.col("__d"), "left").drop("__d", "__key")
+    # The hash and the doc_id together: texts whose hashes meet are told apart unless their ids are equal as well.
+    out = keyed.join(per_doc, (F.col("__key") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__d_id")), "left").drop("__d", "__d_id", "__key")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     split = F.split("text", "\n", -1)
-    kept = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(dropped, i)), "\n"))
+    # An array of one struct carries the lines and the places that stay into the lambda, so that each is computed once.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), dropped)
+    cut = F.transform(F.array(F.struct(split.alias("s"), stay.alias("k"))), lambda z: F.array_join(F.transform(z["k"], lambda i: F.element_at(z["s"], i + 1)), "\n"))
+    kept = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.element_at(cut, 1))
     return out.withColumns({"n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long"), "n_dropped": F.size(dropped).cast("long"), "kept_text": kept, "dropped": dropped})
