@@ -57,6 +57,12 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def scratch_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table written to a scratch path, which counts as staged from now on."""
+    _tables[path] = None
+    return spark.read.parquet(path)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes staged tables that no later result reads."""
     for p in paths:

@@ -13,36 +13,46 @@ similarity, so BANDS bands of ROWS registers bring similar sets together: at
 similarity 0.75 a pair misses all bands once in 170,000. Pairs whose joint
 maximum-likelihood estimate from the registers lies below KEEP_ESTIMATE, four
 standard deviations under the threshold, go no further unless other pairs bring
-both into one cluster; what is in one cluster is verified on the full sets.
+both into one cluster; what is in one cluster is verified on the full sets. These
+two chances, about one pair in 30,000 at the threshold itself and fewer above it,
+are the only way to miss a link.
 
 Copies never multiply: documents with equal sets form one class, and only classes
-are compared. Large groups are compared in blocks, each pair of blocks by a task
-of its own, and a task reports a spanning forest of what it finds, not the pairs:
+are compared. `forest` compares the classes of a group and reports spanning
+forests, not pairs:
 
 1. In each bucket the sketches' estimates give a forest of pairs that may be
-   similar; its components are clusters, which no link leaves.
-2. In each cluster all pairs of full sets are intersected; the links' forest gives
-   the final components. No link that would join two components is lost, whatever
-   the size of a group.
+   similar; its components are clusters, which no candidate pair leaves.
+2. In each cluster full sets are intersected; the links' forest gives the final
+   components.
+
+A group of up to a block's rows is compared pair by pair. Of a larger one every row
+first meets REPRESENTATIVES of the group, once. Whatever then hangs together needs
+no further comparison among itself; only rows outside the group's largest part
+meet all the others, in blocks. A group of copies of one text thus costs a number
+of comparisons that grows with its size, not with its square, and no pair that
+could join two parts is passed over.
 
 Defined results: documents without words have no set, link with nothing and stay;
 a null doc_id is less than no other: a component's id is its smallest doc_id that
 is not null, and null if it has none; kept means doc_id and component_id are
-equal, nulls included; equal rows get equal results; an empty table gives an
-empty result. Extra columns are ignored, whatever their names.
+equal, nulls included; equal rows get equal results; a very long text is read
+whole and is one set (its hashes take eight bytes a word while a task compares
+it); an empty table gives an empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, components, remove, staged
+from lodestone.llm.common import WORD, components, discarding, remove, scratch_path, scratch_table, staged
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -55,6 +65,7 @@ SURE_APART, SURE_NEAR = 0.45, 0.7
 #: Groups of so many rows are compared by offset; larger ones as a matrix.
 SMALL_GROUP = 16
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 512
+REPRESENTATIVES = 4
 CHUNK = 2048
 
 _rng = np.random.default_rng(20_240_607)
@@ -203,10 +214,14 @@ def _spread(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.nda
         root = new
 
 
-def _sides(i: int, j: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if i == j:
-        return np.arange(len(block)), np.arange(len(block))
-    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+#: Sides of a row in a group: compared with all rows, or as the left or the right of a pair.
+BOTH, LEFT, RIGHT = 0, 1, 2
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if side[0] == BOTH:
+        return np.arange(len(side)), np.arange(len(side))
+    return np.flatnonzero(side == LEFT), np.flatnonzero(side == RIGHT)
 
 
 def may_link(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -218,13 +233,13 @@ def may_link(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def _candidate_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of the pairs in each bucket's blocks that may be similar."""
+    """(a, b): a spanning forest of the pairs in each bucket's groups that may be similar."""
     for t, starts in _groups(batches, 3):
-        ids, size = t.column("class").to_numpy(), t.column("n_shingles").to_numpy().astype(float)
+        ids, size, side = t.column("class").to_numpy(), t.column("n_shingles").to_numpy().astype(float), t.column("side").to_numpy()
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         ends = np.append(starts[1:], t.num_rows)
         group = np.repeat(np.arange(len(starts)), ends - starts)
-        small = (ends - starts) <= SMALL_GROUP
+        small = ((ends - starts) <= SMALL_GROUP) & (side[starts] == BOTH)
         found_a, found_b = [], []
         for d in range(1, int((ends - starts)[small].max(initial=1))):
             r = np.flatnonzero((group[:-d] == group[d:]) & small[group[:-d]])
@@ -233,10 +248,10 @@ def _candidate_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             found_b.append(ids[r + d])
         for g in np.flatnonzero(~small):
             rows = slice(starts[g], ends[g])
-            i, j = t.column("i")[int(starts[g])].as_py(), t.column("j")[int(starts[g])].as_py()
-            root = _large_group(ids[rows], size[rows], sketch[rows], *_sides(i, j, t.column("block").to_numpy()[rows]))
-            found_a.append(ids[rows])
-            found_b.append(root)
+            left, right = _sides(side[rows])
+            if len(left) and len(right):
+                found_a.append(ids[rows])
+                found_b.append(_large_group(ids[rows], size[rows], sketch[rows], left, right))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
         off = a != b
         yield pa.RecordBatch.from_arrays([pa.array(a[off]), pa.array(b[off])], ["a", "b"])
@@ -255,21 +270,19 @@ def _large_group(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np
 
 
 def _link_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of the links in each cluster's blocks, by intersections of full sets."""
+    """(a, b): a spanning forest of the links in each cluster's groups, by intersections of full sets."""
     for t, starts in _groups(batches, 3):
-        ids, texts, block = t.column("class").to_numpy(), t.column("text"), t.column("block").to_numpy()
-        out_a, out_b = [], []
+        ids, texts, side = t.column("class").to_numpy(), t.column("text"), t.column("side").to_numpy()
+        found_a, found_b = [], []
         for lo, hi in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
-            i, j = t.column("i")[int(lo)].as_py(), t.column("j")[int(lo)].as_py()
-            left, right = _sides(i, j, block[lo:hi])
-            words = [words_of(texts[int(r)].as_py()) for r in range(lo, hi)]
-            linked = similar_sets([shingle_hashes(w) for w in words], left, right)
-            root = _spread(ids[lo:hi], left, right, linked)
-            for r in range(hi - lo):
-                if root[r] != ids[lo + r]:
-                    out_a.append(ids[lo + r])
-                    out_b.append(root[r])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            left, right = _sides(side[lo:hi])
+            if len(left) and len(right):
+                linked = similar_sets([shingle_hashes(words_of(texts[int(r)].as_py())) for r in range(lo, hi)], left, right)
+                found_a.append(ids[lo:hi])
+                found_b.append(_spread(ids[lo:hi], left, right, linked))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+        off = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(a[off]), pa.array(b[off])], ["a", "b"])
 
 
 def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -291,12 +304,51 @@ def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def _in_blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """Rows of each key in pairs of blocks (i, j), i <= j: each pair of rows of a key meets in one pair of blocks, and no
-    pair of blocks holds many more than 2 * block rows."""
-    cut = rows.withColumn("blocks", F.ceil(F.col(count) / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
-    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return paired.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+def forest(entries: DataFrame, groups: DataFrame, payload: DataFrame, key: str, block: int, find: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(a, b) long, staged: edges that join, of each group, just what the pairs that `find` accepts would join.
+
+    entries: (key, class); groups: (key, members) of the groups to compare, staged;
+    payload: (class, ...), a row for each class. find gets rows (key, i, j, side,
+    class, ...) sorted by (key, i, j) and compares the sides of each (key, i, j).
+    """
+    of = groups.select(F.col(key).alias("g"), "members", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    large = of.where("blocks > 1")
+    named = payload.withColumnRenamed("class", "c")
+    own = lambda n: F.pmod(F.xxhash64("class", F.lit("block")), n).cast("int")
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def compared(rows: DataFrame, places: Column) -> DataFrame:
+        more = [c for c in payload.columns if c != "class"]
+        cut = rows.join(named, F.col("class") == F.col("c")).select(key, "class", *more, F.explode(places).alias("at"))
+        cut = cut.select(key, "at.i", "at.j", "at.side", "class", *more).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+        return staged(cut.mapInArrow(find, "a long, b long").distinct(), "forest")[0]
+
+    if large.isEmpty():
+        return compared(entries.join(of, F.col(key) == F.col("g")), F.array(place(F.lit(0), F.lit(0), BOTH)))
+    # The representatives are those with the least of several hashes, so that no group is sorted.
+    least = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class")))["class"] for k in range(REPRESENTATIVES)]
+    chosen = entries.join(large, F.col(key) == F.col("g")).groupBy("g").agg(F.array(*least).alias("reps"))
+    of, _ = staged(of.join(chosen, "g", "left"), "groups")
+    as_right = F.array(place(F.lit(0), own(F.col("blocks")), RIGHT))
+    as_left = F.when(F.array_contains("reps", F.col("class")), F.transform(upto(F.col("blocks")), lambda j: place(F.lit(0), j, LEFT))).otherwise(none)
+    first = F.when(F.col("blocks") == 1, F.array(place(F.lit(0), F.lit(0), BOTH))).otherwise(F.concat(as_right, as_left))
+    edges = compared(entries.join(of, F.col(key) == F.col("g")), first)
+
+    # What a large group's representatives and the other groups joined is one part.
+    labels = components(edges)[0].withColumnRenamed("root", "found")
+    parts = entries.join(large.select("g", "blocks"), F.col(key) == F.col("g")).join(labels, F.col("class") == F.col("node"), "left")
+    parts, _ = staged(parts.select(key, "class", "blocks", F.coalesce("found", "class").alias("part")), "parts")
+    sizes = parts.groupBy(key, "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(F.col(key).alias("m")).agg(F.max(F.struct("n", "part"))["part"].alias("main"), (F.sum("n") - F.max("n")).alias("apart"))
+    main, _ = staged(main.where("apart > 0").withColumn("strips", F.ceil(F.col("apart") / block).cast("int")), "apart")
+    if main.isEmpty():
+        return edges
+    rest = parts.join(main, F.col(key) == F.col("m"))
+    as_right = F.transform(upto(F.col("strips")), lambda i: place(i, own(F.col("blocks")), RIGHT))
+    as_left = F.when(F.col("part") != F.col("main"), F.transform(upto(F.col("blocks")), lambda j: place(own(F.col("strips")), j, LEFT))).otherwise(none)
+    return staged(edges.unionByName(compared(rest, F.concat(as_right, as_left))).distinct(), "forest")[0]
 
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -304,29 +356,27 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     classes: (class, n_shingles, sketch, rep), staged; rep names a row of docs that has the set.
     """
-    spark = classes.sparkSession
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * 2 * ROWS + 1, 2 * ROWS)))
-    entries = classes.select("class", F.explode(bands).alias("bucket"))
-    busy = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select(F.col("bucket").alias("busy"), "members")
-    members = entries.join(busy, F.col("bucket") == F.col("busy")).drop("busy").join(classes.select("class", "n_shingles", "sketch"), "class")
-    blocks = _in_blocks(members, "bucket", "members", BUCKET_BLOCK).select("bucket", "i", "j", "block", "class", "n_shingles", "sketch")
-    near, near_path = staged(blocks.mapInArrow(_candidate_forest, "a long, b long").distinct(), "candidates")
-    clusters, clusters_path = components(near)
-    # Each cluster's texts meet once; the corpus is shuffled for them once.
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    needed = clusters.join(sizes, "root").join(classes.select(F.col("class").alias("node"), "rep"), "node")
-    rows = _rows(docs).join(needed, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash")))
-    texts = rows.select(F.col("node").alias("class"), "root", "members", "text").dropDuplicates(["class"])
-    blocks = _in_blocks(texts, "root", "members", CLUSTER_BLOCK).select("root", "i", "j", "block", "class", "text")
-    links, links_path = staged(blocks.mapInArrow(_link_forest, "a long, b long"), "links")
-    labels, _ = components(links)
-    remove(spark, near_path, clusters_path, links_path)
-    return labels
+    with discarding(classes.sparkSession):
+        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * 2 * ROWS + 1, 2 * ROWS)))
+        entries = classes.select("class", F.explode(bands).alias("bucket"))
+        busy, _ = staged(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+        near = forest(entries, busy, classes.select("class", "n_shingles", "sketch"), "bucket", BUCKET_BLOCK, _candidate_forest)
+        clusters = components(near)[0].withColumnRenamed("node", "class")
+        sizes, _ = staged(clusters.groupBy("root").agg(F.count("*").alias("members")), "clusters")
+        # Each cluster's texts are found once; the corpus is shuffled for them once.
+        needed = clusters.join(classes.select(F.col("class").alias("c"), "rep"), F.col("class") == F.col("c"))
+        rows = _rows(docs).join(needed, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash")))
+        texts, _ = staged(rows.select("class", "text").dropDuplicates(["class"]), "texts")
+        links = forest(clusters, sizes, texts, "root", CLUSTER_BLOCK, _link_forest)
+        labels = components(links)[0]
+        path = scratch_path(classes.sparkSession, "components")
+        labels.write.parquet(path)
+    return scratch_table(classes.sparkSession, path)
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n_shingles, class), class null without words, and (class, root, component_id) of every class; both staged."""
-    sketched, _ = staged(sketch_documents(docs), "sketches")
+    sketched, sketched_path = staged(sketch_documents(docs), "sketches")
     # A class is a set; its number comes from the set's digest, its representative text from any row that has it.
     by_key = sketched.where("class_key is not null").groupBy("class_key").agg(
         F.min("doc_id").alias("first_id"),
@@ -337,12 +387,13 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes, classes_path = staged(by_key.withColumn("class", F.xxhash64("class_key")), "classes")
     if classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").head():
         raise RuntimeError("two sets share a 64-bit class number")
+    number = F.when(F.col("class_key").isNotNull(), F.xxhash64("class_key")).alias("class")
+    rows, _ = staged(sketched.select("doc_id", "text_hash", "n_shingles", number), "rows")
     labels = link_classes(classes, docs)
     ids = classes.select("class", "first_id").join(labels, F.col("class") == F.col("node"), "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     smallest = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class, _ = staged(ids.join(smallest, "root").select("class", "root", "component_id"), "class-components")
-    remove(docs.sparkSession, classes_path)
-    rows = sketched.select("doc_id", "text_hash", "n_shingles", F.when(F.col("class_key").isNotNull(), F.xxhash64("class_key")).alias("class"))
+    remove(docs.sparkSession, sketched_path, classes_path)
     return rows, of_class
 
 
@@ -355,11 +406,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component (the smallest doc_id, null last) and all rows without words."""
+    """docs with one row of each component (the smallest doc_id, null last) and all rows without words.
+
+    Of rows that are equal in doc_id and text the one stays whose other columns have
+    the smallest hash (maps and variants aside), so reruns agree. Null and blank texts are without words and
+    stay, every row; an empty table gives no rows; columns keep their names.
+    """
     rows, of_class = _grouped(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
-    stay = rows.join(of_class, "class").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("__k_id"), F.col("k.text_hash").alias("__k_hash"))
-    keyed = docs.withColumn("__dup_key", F.xxhash64("text"))
-    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = keyed.where(has_words).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")) & (F.col("__dup_key") == F.col("__k_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__dup_key"]).unionByName(keyed.where(~has_words)).drop("__dup_key")
+    stay = rows.join(of_class, "class").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    row = F.struct(*docs.columns).alias("row")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words"), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("rank"), row)
+    kept = keyed.where("words").join(stay, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")), "left_semi")
+    one = kept.groupBy("id", "hash").agg(F.min_by("row", "rank").alias("row"))
+    return one.select("row").unionByName(keyed.where("not words").select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
