@@ -11,14 +11,18 @@ pair counts once.
 A list is cut into blocks of about BLOCK rows, and each pair of blocks is a task
 of its own; a task reports a number of links and one edge for each vector, not
 the pairs. Equal vectors (with equal labels) are one entry with a count. Blocks
-are never cut short: any list size is worked off whole, in more tasks.
+are never cut short: any list size is worked off whole, in more tasks. Pivots grow
+with the root of the number of vectors up to PIVOT_BYTES (62,500 of 64 dimensions);
+as links are counted, vectors in one list of m meet in m / BLOCK blocks each.
 
 Recall against brute force is measured in the tests (0.9 is asked for): on the
 data here it was 1.0.
 
 Defined results: a vector with a null label, or that is null, empty, zero or has
 null or non-finite components links with nothing and is a component of its own;
-vectors of different lengths do not link; repeated rows are other vectors and
+vectors of different lengths do not link; components are scaled by a power of two
+before they are squared, so that huge and tiny ones neither overflow nor vanish;
+repeated rows are other vectors and
 link with each other; a null vec_id counts as a vector but never names a
 component; kept means that vec_id and component_id are equal, nulls included; an
 empty table gives an empty result. Extra columns are ignored.
@@ -39,8 +43,8 @@ from lodestone.llm.common import components, remove, staged
 
 COSINE = 0.93
 LISTED, SHARED = 8, 3
-MIN_PIVOTS, MAX_PIVOTS = 64, 4096
-#: The pivots are sent to every task; this bounds their size.
+MIN_PIVOTS = 64
+#: The pivots are sent to every task; this bounds their size (as single floats) and with it their number.
 PIVOT_BYTES = 16_000_000
 BLOCK = 768
 
@@ -53,23 +57,38 @@ def usable(embedding: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & embedding.isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between a half and one: directions stay exactly."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def choose_pivots(classes: DataFrame) -> np.ndarray:
     """Pivots from a sample of four times their number: rows are taken in hash order unless close to one taken before."""
     n, dim = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
-        return np.zeros((0, 1))
+        return np.zeros((0, 1), np.float32)
     # Lists stay short if the pivots grow with the root of the number of vectors.
-    wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, 2 ** round(math.log2(4 * math.sqrt(n)))), max(LISTED, PIVOT_BYTES // (8 * dim)))
-    rows = classes.orderBy(F.xxhash64("class", F.lit("pivot")), "class").limit(4 * wanted).select("embedding").collect()
+    wanted = min(max(MIN_PIVOTS, 2 ** round(math.log2(4 * math.sqrt(n)))), max(LISTED, PIVOT_BYTES // (4 * dim)))
+    rows = classes.orderBy(F.xxhash64("class", F.lit("pivot")), "class").limit(4 * wanted).select("embedding").toArrow()["embedding"].combine_chunks()
+    size = rows.value_lengths().to_numpy(zero_copy_only=False)
     x = np.zeros((len(rows), dim))
-    for i, (v,) in enumerate(rows):
-        x[i, : len(v)] = v
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    taken: list[int] = []
-    for i in range(len(x)):
-        if len(taken) < wanted and (not taken or (x[taken] @ x[i]).max() < 0.9):
-            taken.append(i)
-    return x[taken]
+    x[np.arange(dim) < size[:, None]] = rows.flatten().to_numpy()
+    x = scaled(x)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    taken = np.zeros((0, dim), np.float32)
+    for at in range(0, len(x), 1024):  # a block at a time against those taken, and then one by one within the block
+        block = x[at : at + 1024]
+        if len(taken):
+            block = block[(block @ taken.T).max(axis=1) < 0.9]
+        close = block @ block.T >= 0.9
+        mine: list[int] = []
+        for i in range(len(block)):
+            if not close[i, mine].any():
+                mine.append(i)
+        taken = np.concatenate([taken, block[mine]])
+        if len(taken) >= wanted:
+            break
+    return taken[:wanted]
 
 
 def pivot_lists(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -78,17 +97,20 @@ def pivot_lists(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
     k = min(LISTED, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        p = shared.value.astype(float)
         for b in batches:
             vectors = b.column("embedding")
             out = np.zeros((b.num_rows, k), np.int32)
             sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
-                x = vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), dim).astype(float)
+                x = scaled(vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), dim).astype(float))
                 near = x[:, : p.shape[1]] @ p[:, :dim].T
-                out[rows] = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            yield b.append_column("pivots", pa.array(out.tolist(), pa.list_(pa.int32())))
+                best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(p) else np.tile(np.arange(k), (len(rows), 1))
+                order = np.lexsort((best, -np.take_along_axis(near, best, axis=1)), axis=1)
+                out[rows] = np.take_along_axis(best, order, axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * b.num_rows + 1, k), pa.int32()), pa.array(out.ravel()))
+            yield b.append_column("pivots", lists)
 
     return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
 
@@ -100,10 +122,13 @@ def block_links(key: tuple, t: pa.Table) -> pa.Table:
     counts = t.column("copies").to_numpy().astype(float)
     side = t.column("block").to_numpy() == i
     dim = key[1].as_py()
-    x = t.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), dim).astype(float)
-    lists = np.array(t.column("pivots").to_pylist())
-    own = np.zeros((len(ids), int(lists.max()) + 1), np.float32)
-    np.put_along_axis(own, lists, 1, axis=1)
+    x = scaled(t.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), dim).astype(float))
+    lists = t.column("pivots").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    # Only the pivots that rows of this block have get a column, in their order.
+    names, place = np.unique(lists, return_inverse=True)
+    own = np.zeros((len(ids), len(names)), np.float32)
+    np.put_along_axis(own, place.reshape(lists.shape), 1, axis=1)
+    pivot = int(np.searchsorted(names, pivot))
     left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if i != j else (np.arange(len(ids)),) * 2
     norm = np.linalg.norm(x, axis=1)
     linked = (own[left] @ own[right].T >= min(SHARED, lists.shape[1])) & (own[left, :pivot] @ own[right, :pivot].T == 0)
