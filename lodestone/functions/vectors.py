@@ -5,12 +5,16 @@ values with a symmetric scale, and the norm of the original vector.
 """
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 COSINE, DOT_PRODUCT, EUCLIDEAN = "COSINE", "DOT_PRODUCT", "EUCLIDEAN"
 METRICS = (COSINE, DOT_PRODUCT, EUCLIDEAN)
@@ -142,40 +146,99 @@ def fake_embedding(text: Column, dimensions: int = 16) -> Column:
     return post_process(raw)
 
 
-def batch_scores(corpus: DataFrame, queries: np.ndarray, query_ids: list[int], k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Quantized cosine top-k of many queries in one pass over the corpus.
-
-    Each Arrow batch is scored by one matrix product and keeps its own k best for
-    each query, so a task hands on at most k rows a query and batch; the
-    final choice is a ranked window over these. queries is sent to every task:
-    keep it to a few thousand vectors and call again for more.
-    """
-    from pyspark.sql import Window as W
-
-    sent = corpus.sparkSession.sparkContext.broadcast((_quantized(queries), list(query_ids)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (qq, qs, qn), ids = sent.value
-        for b in batches:
-            if not len(b):
-                continue
-            v, s, n = _quantized(np.stack(b[vector].to_numpy()).astype(float))
-            score = (qq @ v.T) * np.outer(qs, s) / np.maximum(np.outer(qn, n), 1e-300)
-            key = b[ident].to_numpy()
-            score = np.round(score, 6)
-            take = min(k, score.shape[1])
-            least = np.partition(score, -take, axis=1)[:, -take]  # ties with the k-th are all looked at
-            for row, q in enumerate(ids):
-                near = np.flatnonzero(score[row] >= least[row])
-                best = near[np.lexsort((key[near], -score[row][near]))[:take]]
-                yield pd.DataFrame({"query_id": q, "id": key[best], "score": score[row, best]})
-
-    part = corpus.select(ident, vector).mapInPandas(run, "query_id long, id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def _quantized(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = np.abs(v).max(1)
     scale = np.where(top > 0, top / 127.0, 1.0)
     return np.clip(np.floor(v / scale[:, None] + 0.5), -127, 127), scale, np.linalg.norm(v, axis=1)
+
+
+class Scorer:
+    """Similarities of a block of query vectors with batches of vectors, quantized or exact, by matrix products."""
+
+    def __init__(self, queries: np.ndarray, metric: str = COSINE, exact: bool = False):
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric}; one of {METRICS}")
+        self.metric, self.exact = metric, exact
+        # Sums of products of int8 values are exact in single precision up to 2^24.
+        self.kind = np.float64 if exact or queries.shape[1] * 127 * 127 >= 2**24 else np.float32
+        self.values, self.scale, self.norm = self._prepared(queries)
+
+    def _prepared(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.exact:
+            return v, np.ones(len(v)), np.linalg.norm(v, axis=1)
+        q, scale, norm = _quantized(v)
+        return q.astype(self.kind), scale, norm
+
+    def of(self, rows: np.ndarray) -> "Scorer":
+        """The scorer of some of the queries."""
+        out = copy(self)
+        out.values, out.scale, out.norm = self.values[rows], self.scale[rows], self.norm[rows]
+        return out
+
+    def scores(self, vectors: np.ndarray) -> np.ndarray:
+        """(queries, vectors) in double precision; larger is nearer for each metric."""
+        v, scale, norm = self._prepared(vectors)
+        out = (self.values @ v.T).astype(np.float64)
+        if not self.exact:
+            out *= self.scale[:, None]
+            out *= scale
+        if self.metric == DOT_PRODUCT:
+            return out
+        if self.metric == EUCLIDEAN:
+            return 1.0 / (1.0 + np.sqrt(np.maximum(0.0, (self.norm**2)[:, None] + norm**2 - 2.0 * out)))
+        both = np.outer(self.norm, norm)
+        return np.divide(out, both, out=np.zeros_like(out), where=both > 0)
+
+
+#: Vectors are scored so many at a time; with a block of queries that bounds the matrix of scores.
+SCORED_ROWS = 4096
+
+
+def top_scores(corpus: DataFrame, ids: pa.Array, queries: np.ndarray, k: int, metric: str = COSINE, exact: bool = False, probes: np.ndarray | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of candidates for the k best of each query, in one pass over corpus (chunk_id, vector).
+
+    A task keeps the k-th best score of each query so far and hands on only what
+    reaches it, ties included, so after its first rows it hands on little. Scores
+    are compared at six decimals, ties by chunk_id. Null vectors and those of
+    another length than the queries' are no candidates. probes: (queries, cells)
+    whether a query looks into a cell; corpus then has a column cell.
+    """
+    kinds = {f.name: f.dataType for f in corpus.schema.fields}
+    out = T.StructType([T.StructField("query_id", from_arrow_type(ids.type)), T.StructField("chunk_id", kinds["chunk_id"]), T.StructField("score", T.DoubleType())])
+    sent = corpus.sparkSession.sparkContext.broadcast((ids, queries, probes))
+    dim = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, probes = sent.value
+        every = Scorer(queries, metric, exact)
+        least = np.full(len(ids), -np.inf)
+
+        def best(part: pa.RecordBatch, asking: np.ndarray, scorer: Scorer) -> pa.RecordBatch:
+            """What of a part may be among the best of the queries that ask."""
+            flat = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            score = np.round(scorer.scores(flat.reshape(-1, dim)), 6)
+            if score.shape[1] >= k:
+                least[asking] = np.maximum(least[asking], np.partition(score, -k, axis=1)[:, -k])
+            row, column = np.nonzero(score >= least[asking][:, None])
+            place = np.empty(part.num_rows, np.int64)
+            place[pc.sort_indices(part.column(0)).to_numpy()] = np.arange(part.num_rows)
+            order = np.lexsort((place[column], -score[row, column], row))
+            row, column = row[order], column[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)  # rows are sorted: each one's place among its query's
+            row, column = row[nth < k], column[nth < k]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(asking[row])), part.column(0).take(pa.array(column)), pa.array(score[row, column])], ["query_id", "chunk_id", "score"])
+
+        for b in batches:
+            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False))
+            for at in range(0, b.num_rows, SCORED_ROWS):
+                part = b.slice(at, SCORED_ROWS)
+                if probes is None:
+                    yield best(part, np.arange(len(ids)), every)
+                    continue
+                cells = part.column(2).to_numpy()
+                for cell in np.unique(cells):
+                    asking = np.flatnonzero(probes[:, cell])
+                    if len(asking):
+                        yield best(part.filter(pa.array(cells == cell)), asking, every.of(asking))
+
+    return corpus.select("chunk_id", "vector", *(["cell"] if probes is not None else [])).mapInArrow(run, out)

@@ -8,20 +8,25 @@ predicates are applied to the base scan, below every limit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import jaccard, rrf_score
-from lodestone.functions.vectors import COSINE, quantize, quantized_similarity
+from lodestone.functions.vectors import COSINE, top_scores
+from lodestone.operators.lexical import bm25_search, phrase_prefix, phrase_search, postings, rank_top_k, substring_search, terms  # noqa: F401 - part of this module's interface
 
-K1, B = 1.2, 0.75
 RRF_K = 60
 TOP_K, THRESHOLD, LAMBDA = 5, 0.35, 0.7
 #: Query sets up to this size are sent to every task; larger ones are joined by Spark as it sees fit.
 BROADCAST_QUERIES = 10_000
+#: Query vectors are sent to the tasks so many bytes at a time.
+QUERY_BYTES = 4_000_000
 
 
 def small(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
@@ -29,72 +34,38 @@ def small(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(queries) if queries.limit(limit + 1).count() <= limit else queries
 
 
-def terms(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def matches_filter(metadata: Column, wanted: dict[str, str]) -> Column:
     """Every pair equals; a missing key fails."""
     return reduce(lambda a, kv: a & F.coalesce(metadata[kv[0]] == kv[1], F.lit(False)), wanted.items(), F.lit(True))
 
 
-def rank_top_k(scored: DataFrame, k: int, *tie: str, score: str = "score", by: str = "query_id") -> DataFrame:
-    """The k best of each query with their rank from 1; ties by the given columns. Scores are compared at six decimals."""
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.round(score, 6).desc(), *tie))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def query_blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and vectors of the queries, in blocks of about QUERY_BYTES that are dealt by a hash of the id; null vectors ask
+    nothing. Only one block is with the driver at a time."""
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    q = q.withColumn("size", F.size("vector"))
+    for size, n in sorted(map(tuple, q.groupBy("size").agg(F.count("*").alias("n")).collect())):  # lengths of vectors are few
+        blocks = -(-n * 8 * max(1, size) // QUERY_BYTES)
+        for i in range(blocks):
+            t = q.where((F.col("size") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", "vector").toArrow().combine_chunks()
+            if t.num_rows and size:
+                yield t["query_id"].combine_chunks(), t["vector"].combine_chunks().flatten().to_numpy().reshape(-1, size)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, where: Column | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, where: Column | None = None, exact: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): quantized similarity of every query with every vector, best k.
 
-    The scan is exact and each vector is quantized once. `where` filters
-    the vectors' own columns before any scoring.
+    The scan is whole: each block of queries meets all vectors in one pass, by
+    matrix products on Arrow batches, and only what may be among a query's k best
+    leaves a task. `where` filters the vectors' own columns before any scoring.
+    exact: on the vectors as they are, not quantized.
     """
-    base = (vectors if where is None else vectors.where(where)).select("chunk_id", quantize(F.col("vector")).alias("cv"))
-    q = small(queries.select("query_id", quantize(F.col("vector")).alias("qv")))
-    scored = base.crossJoin(q).select("query_id", "chunk_id", quantized_similarity(F.col("qv"), F.col("cv"), metric).alias("score"))
-    return rank_top_k(scored, k, "chunk_id")
-
-
-def postings(chunks: DataFrame, ident: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(term, id, tf, dl): the inverted index, recomputed from the chunks it covers, so it cannot go stale."""
-    words = chunks.select(F.col(ident).alias("id"), terms(F.col(text)).alias("w"))
-    return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, ident: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(query_id, chunk_id, score, rank): any-term BM25. Only postings of query terms are scored."""
-    words = chunks.select(F.col(ident).alias("id"), terms(F.col(text)).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = small(asked.select("term").distinct(), 200_000)
-    hits = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    impact = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", F.col("id").alias("chunk_id"), weight.alias("w"))
-    scored = impact.join(small(asked, 200_000), "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
-    return rank_top_k(scored, k, "chunk_id")
-
-
-def flat_terms(text: Column) -> Column:
-    """The terms in a row, each after a space; a text's flat terms contain those of a phrase where its words occur in a
-    row, the last as a prefix."""
-    return F.concat(F.lit(" "), F.array_join(terms(text), " "))
-
-
-def phrase_prefix(text: Column, phrase: Column) -> Column:
-    """Whether the phrase's words occur in a row, the last as a prefix: what a quoted, starred full-text query asks."""
-    return (flat_terms(phrase) != " ") & flat_terms(text).contains(flat_terms(phrase))
-
-
-def phrase_search(chunks: DataFrame, queries: DataFrame, ident: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(query_id, chunk_id) of the chunks that hold a query's text as a phrase prefix. Each side is flattened once, before they meet."""
-    q = small(queries.select("query_id", flat_terms(F.col("text")).alias("__q")).where("__q <> ' '"))
-    c = chunks.select(F.col(ident).alias("chunk_id"), flat_terms(F.col(text)).alias("__c"))
-    return c.join(q, F.contains("__c", "__q")).select("query_id", "chunk_id")
+    base = (vectors if where is None else vectors.where(where)).select("chunk_id", "vector")
+    parts = [top_scores(base, ids, values, k, metric, exact) for ids, values in query_blocks(queries)]
+    if not parts:
+        empty = queries.select("query_id").limit(0).crossJoin(base.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
+        return empty.withColumn("rank", F.lit(0))
+    return rank_top_k(reduce(DataFrame.unionByName, parts), k, "chunk_id")
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -197,12 +168,13 @@ def ann_cells(vectors: DataFrame, cells: int = 16, seed: int = 42) -> tuple[Data
 
 
 def ann_search(celled: DataFrame, centres: list, queries: DataFrame, k: int, probe: int = 11) -> DataFrame:
-    """Approximate top-k: only the cells of the `probe` nearest centres are scanned for a query. The default is for 16 cells."""
-    spark = celled.sparkSession
-    from lodestone.functions.vectors import dot
-
-    c = spark.createDataFrame([(i, v) for i, v in enumerate(centres)], "cell int, centre array<double>")
-    near = queries.crossJoin(F.broadcast(c)).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(dot(F.col("vector"), F.col("centre")).desc(), "cell"))).where(F.col("r") <= probe)
-    q = small(near.select("query_id", "cell", quantize(F.col("vector")).alias("qv")))
-    scored = celled.select("chunk_id", "cell", quantize(F.col("vector")).alias("cv")).join(q, "cell").select("query_id", "chunk_id", quantized_similarity(F.col("qv"), F.col("cv")).alias("score"))
-    return rank_top_k(scored, k, "chunk_id")
+    """Approximate top-k: only the cells of the `probe` nearest centres are scanned for a query, by matrix products of
+    the queries that look into a cell with its vectors. The default is for 16 cells."""
+    c = np.asarray(centres, float)
+    parts = []
+    for ids, values in query_blocks(queries):
+        near = np.argsort(-(values @ c.T), axis=1, kind="stable")[:, :probe]
+        probes = np.zeros((len(values), len(c)), bool)
+        np.put_along_axis(probes, near, True, axis=1)
+        parts.append(top_scores(celled, ids, values, k, probes=probes))
+    return rank_top_k(reduce(DataFrame.unionByName, parts), k, "chunk_id")
