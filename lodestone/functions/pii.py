@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,9 +100,13 @@ def _found(text: Column, kind: str, pattern: str, confidence: float) -> Column:
     return F.filter(spans, lambda s: check(s["value"])) if check else spans
 
 
-def detect(text: Column) -> Column:
-    """Spans of personal data, by start (longer first), overlaps with a kept one dropped."""
-    everything = F.concat(*[_found(text, *p) for p in PATTERNS])
+def detect(text: Column, plug_in: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of personal data, by start (longer first), overlaps with a kept one dropped.
+
+    plug_in: a text column to a column of SPANS, as a trained detector gives them;
+    its spans compete with the patterns' by the same rule.
+    """
+    everything = F.concat(*[_found(text, *p) for p in PATTERNS], *([F.coalesce(plug_in(text).cast(SPANS), F.array().cast(SPANS))] if plug_in else []))
     ordered = F.array_sort(everything, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     return F.aggregate(
         ordered,

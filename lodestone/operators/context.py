@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import citation_page, cited_ids, provider_tokens, quarter_tokens, sanitize_chunk, snippet, wrap_chunk
+from lodestone.session import kept
 
 BUDGET, WINDOW = 3000, 1
 JOINT = "\n\n---\n\n"
@@ -144,19 +145,25 @@ def ask(queries: DataFrame, results: DataFrame, generate: Callable[[Column], Col
 
     generate: prompt column to answer column (an Arrow function in earnest). With a
     schema's required names an invalid answer is generated again, `retries` times.
+    Answers are written to the shared folder, so that each prompt is generated once
+    and only rejected ones again.
     """
     from lodestone.functions.text import json_problem
 
     context = retrieved_context(results)
     prompt = F.concat(F.lit(system_instruction(schema) + "\n\n"), user_message(F.col("context"), F.col("text")))
-    rows = queries.join(context, "query_id", "left").withColumn("prompt", prompt).withColumn("answer", generate(F.col("prompt")))
+    rows = kept(queries.join(context, "query_id", "left").select("query_id", prompt.alias("prompt")).withColumn("answer", generate(F.col("prompt"))), "answers")
     if schema is not None:
         import json
 
         required = json.loads(schema).get("required", [])
         for _ in range(retries):
-            problem = json_problem(F.col("answer"), required)
-            rows = rows.withColumn("answer", F.when(problem.isNull(), F.col("answer")).otherwise(generate(F.concat(F.col("prompt"), F.lit("\n\nYour last output was rejected: "), problem))))
+            judged = rows.withColumn("problem", json_problem(F.col("answer"), required))
+            bad = judged.where("problem IS NOT NULL")
+            if bad.isEmpty():
+                break
+            again = bad.select("query_id", "prompt", generate(F.concat("prompt", F.lit("\n\nYour last output was rejected: "), "problem")).alias("answer"))
+            rows = kept(judged.where("problem IS NULL").drop("problem").unionByName(again), "answers")
     return finalize(rows.select("query_id", "answer"), results, redact)
 
 

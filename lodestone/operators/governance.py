@@ -92,14 +92,26 @@ def denies(kind: Column, items: Column, max_tokens: Column, used: Column | None
     return F.coalesce(test, F.lit(False))
 
 
+#: Rules up to this number become one expression; more are joined as one array.
+EXPRESSION_RULES = 200
+
+
 def evaluate_policy(requests: DataFrame, rules: DataFrame, ident: str = "request_id", used: str | None = None) -> DataFrame:
-    """(request_id, decision, rule_id, category): the first denying rule in order, else allowed. rules is small by
-    nature and is joined as one array; tokens are charged when a request runs, not here."""
-    listed = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "kind", "items", "max_tokens", "rule_id", "category"))).alias("__rules"))
+    """(request_id, decision, rule_id, category): the first denying rule in order, else allowed. Each rule is looked at
+    once for a request; tokens are charged when a request runs, not here."""
     spent = F.col(used) if used else None
-    first = F.element_at(F.filter("__rules", lambda r: denies(r["kind"], r["items"], r["max_tokens"], spent)), 1)
-    out = requests.crossJoin(F.broadcast(listed)).withColumn("__deny", F.when(F.size(F.filter("__rules", lambda r: denies(r["kind"], r["items"], r["max_tokens"], spent))) > 0, first))
-    return out.select(ident, F.when(F.col("__deny").isNotNull(), "denied").otherwise("allowed").alias("decision"), F.col("__deny.rule_id").alias("rule_id"), F.col("__deny.category").alias("category"))
+    cols = ["rule_order", "kind", "items", "max_tokens", "rule_id", "category"]
+    few = rules.select(*cols).orderBy("rule_order").limit(EXPRESSION_RULES + 1).collect()
+    if len(few) <= EXPRESSION_RULES:
+        found = lambda r: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["category"]).alias("category"))
+        items = lambda r: F.array(*map(F.lit, r["items"] or [])).cast("array<string>")
+        tests = [F.when(denies(F.lit(r["kind"]), items(r), F.lit(r["max_tokens"]).cast("long"), spent), found(r)) for r in few]
+        judged = requests.withColumn("__deny", F.coalesce(*tests) if tests else F.lit(None).cast("struct<rule_id:string,category:string>"))
+    else:
+        listed = rules.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("__rules"))
+        first = F.get(F.filter("__rules", lambda r: denies(r["kind"], r["items"], r["max_tokens"], spent)), 0)
+        judged = requests.crossJoin(listed).withColumn("__deny", first)
+    return judged.select(ident, F.when(F.col("__deny").isNotNull(), "denied").otherwise("allowed").alias("decision"), F.col("__deny.rule_id").alias("rule_id"), F.col("__deny.category").alias("category"))
 
 
 def integrity_gate(rooted: Column, recognized: Column) -> Column:
@@ -166,7 +178,8 @@ def append_chain(events: DataFrame, seed: str, chain: str = "chain") -> DataFram
     """Hash-chained entries of (chain, seq, ts_ms, action, actor, model, document_ids, metadata_hash).
 
     Each entry's hash covers the one before, so a chain is worked off in order
-    by one task; chains (tenants) run in parallel. Rows of a chain stream through
+    by one task: the chain is the unit of parallel work. Give each tenant its own,
+    and a tenant that writes without end one for each day or source. Rows of a chain stream through
     in Arrow batches, only the last hash is held.
     """
     import hashlib
@@ -178,11 +191,11 @@ def append_chain(events: DataFrame, seed: str, chain: str = "chain") -> DataFram
         now, last = None, ""
         for b in batches:
             prev, cur = [], []
-            for r in b.itertuples(index=False):
-                if r[0] != now:
-                    now, last = r[0], sha(seed)
+            for name, seq, *rest in zip(*(b[c].tolist() for c in b.columns), strict=True):
+                if name != now:
+                    now, last = name, sha(seed)
                 prev.append(last)
-                last = sha(f"{r.seq}|{last}|{r.ts_ms}|{r.action}|{r.actor}|{r.model}|{r.document_ids}|{r.metadata_hash}")
+                last = sha("|".join(map(str, (seq, last, *rest))))
                 cur.append(last)
             yield b.assign(previous_hash=prev, current_hash=cur)
 

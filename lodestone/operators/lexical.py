@@ -237,6 +237,13 @@ class TextIndex:
         last = self._read("replaced", "id string").groupBy("id").agg(F.max("segment").alias("last"))
         return rows.join(last, "id").where(F.col("segment") == F.col("last")).drop("segment", "last")
 
+    def rebuild(self, chunks: DataFrame, ident: str = "chunk_id", text: str = "content") -> None:
+        """Indexes chunks anew and forgets everything else."""
+        old = self.segments()
+        self.update(chunks, ident=ident, text=text)
+        for n in old:
+            self._fs.delete(self._new(f"{self.path}/segment-{n}"), True)
+
     def merge(self) -> None:
         """The live chunks as one segment; the segments before it go once it stands."""
         old = self.segments()

@@ -1,4 +1,4 @@
-"""Registered queries over small literal tables and the plainer operators."""
+"""Registered queries over the plainer operators, their inputs made from the rows of whole tables."""
 
 from __future__ import annotations
 
@@ -11,19 +11,6 @@ from lodestone.session import spread_table as table
 from lodestone.sources import parsers
 
 
-@query("SELECT * FROM (VALUES ('AADHAAR', 5, 3), ('CREDIT_CARD', 3, 2), ('PAN', 3, 2), ('IBAN', 2, 1), ('PHONE', 4, 3)) t(kind, n, valid)")
-def j23_checksums(spark, d):  # noqa: ANN001, ANN201
-    raw = {
-        "AADHAAR": ["218217093781", "2182 1709 3781", "2182-1709-3781", "218217093782", "118217093781"], "CREDIT_CARD": ["4111-1111-1111-1111", "5500000000000004", "12345"], "PAN": ["ABCPD1234F", "XYZPH9876Q", "ABCDZ1234F"],
-        "IBAN": ["GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432"], "PHONE": ["+91 9876543210", "7890123456", "+442071838750", "0876543210"],
-    }
-    df = spark.createDataFrame([(k, x) for k, v in raw.items() for x in v], "kind string, raw string")
-    ok = F.lit(False)
-    for k, f in pii.VALID.items():
-        ok = F.when(F.col("kind") == k, f(F.col("raw"))).otherwise(ok)
-    return df.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("valid"))
-
-
 @query(r"""SELECT item_id, len(list_distinct(regexp_extract_all('see [c_' || item_id || '] and [c-x] or [c_' || item_id || '] not [a b]', '\[([a-zA-Z0-9_-]+)\]', 1))) AS cited, left(text, 200) AS snippet FROM benchmark""")
 def j30_citations(spark, d):  # noqa: ANN001, ANN201
     i = F.col("item_id").cast("string")
@@ -63,23 +50,6 @@ def j35_judge(spark, d):  # noqa: ANN001, ANN201
     return j.select("conv_id", "turn", r6(text.faithfulness(F.col("ans"), F.array("text"))).alias("faithfulness"), r6(text.relevance(F.col("text"), F.col("ans"))).alias("relevance"), text.refuses(F.col("ans")).alias("refuses"))
 
 
-@query("SELECT * FROM (VALUES (0, '0 B'), (1023, '1023 B'), (1536, '1.5 KB'), (5242880, '5.0 MB'), (3221225472, '3.0 GB')) t(n, shown)")
-def j40_format_bytes(spark, d):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(n,) for n in (0, 1023, 1536, 5242880, 3221225472)], "n long").select("n", text.format_bytes(F.col("n")).alias("shown"))
-
-
-@query("SELECT * FROM (VALUES (1, 200), (2, 400), (3, 800), (4, 1600), (5, 2000)) t(attempt, delay)")
-def p6_retry_delays(spark, d):  # noqa: ANN001, ANN201
-    return spark.range(1, 6).select(F.col("id").alias("attempt"), text.retry_delay(F.col("id")).alias("delay"))
-
-
-@query("SELECT h || '/' || f AS state, greatest(1, least(16, floor((CASE h WHEN 'MODERATE' THEN 12 WHEN 'THROTTLED' THEN 8 WHEN 'CRITICAL' THEN 1 ELSE 16 END) * (CASE WHEN f < 0.15 THEN 0.5 WHEN f < 0.3 THEN 0.75 ELSE 1 END))))::INT AS batch, CASE h WHEN 'MODERATE' THEN 50 WHEN 'THROTTLED' THEN 250 WHEN 'CRITICAL' THEN 1000 ELSE 0 END AS delay FROM (VALUES ('NORMAL'), ('MODERATE'), ('THROTTLED'), ('CRITICAL')) a(h), (VALUES (0.1), (0.2), (0.5)) b(f)")
-def p4_backpressure(spark, d):  # noqa: ANN001, ANN201
-    rows = [(h, f) for h in ("NORMAL", "MODERATE", "THROTTLED", "CRITICAL") for f in (0.1, 0.2, 0.5)]
-    df = spark.createDataFrame(rows, "h string, f double")
-    return df.select(F.concat("h", F.lit("/"), F.col("f").cast("string")).alias("state"), text.batch_size(F.col("h"), F.col("f")).alias("batch"), text.throttle_delay(F.col("h")).alias("delay"))
-
-
 @query("SELECT doc_id, sha256(coalesce(lang, '') || '|' || source) AS payload FROM documents")
 def j43_signature_payload(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", F.sha2(text.signature_payload(F.col("lang"), F.col("source")), 256).alias("payload"))
@@ -91,25 +61,6 @@ def c10_sanitized_metadata(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", governance.sanitized_metadata(m).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'Unknown', 26), ('c', 3, 'MIT', 26)) t(id, version, license, min_os_version)")
-def a13_model_catalogue(spark, d):  # noqa: ANN001, ANN201
-    j = '{"models":[{"id":"a","supportedAbis":["arm64"]},{"id":"b","minRamBytes":900},{"id":"c","version":3,"license":"MIT"},{"id":"d","minOsVersion":40}]}'
-    m = store.parse_model_catalog(spark.createDataFrame([(j,)], "json string"))
-    return store.compatible_models(m, 500, 30, ["arm64"]).select("id", "version", "license", "min_os_version")
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'id,name', '1,a b;2,c'), (1, 1, 'id,name', '3,d')) t(doc_id, ord, headers, rows)")
-def a3_csv_tables(spark, d):  # noqa: ANN001, ANN201
-    t = parsers.parse_csv(spark.createDataFrame([(1, 'id,name\n1,"a b"\n\n2, c\n3,d')], "doc_id int, text string"), group=2)
-    return t.select("doc_id", "ord", F.array_join("headers", ",").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
-
-
-@query("SELECT * FROM (VALUES ('a | b\n--- | ---\n1 | 2\n3 | 4\n')) t(shown)")
-def g5_format_table(spark, d):  # noqa: ANN001, ANN201
-    t = spark.createDataFrame([(["a", "b"], [["1", "2"], ["3", "4"]])], "h array<string>, r array<array<string>>")
-    return t.select(chunking.format_table(F.col("h"), F.col("r")).alias("shown"))
-
-
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS labels FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL) GROUP BY user_id")
 def e9_distinct_labels(spark, d):  # noqa: ANN001, ANN201
     firsts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
@@ -122,17 +73,6 @@ def b2_keep_latest(spark, d):  # noqa: ANN001, ANN201
     return store.keep_latest(table(spark, d, "documents").select("doc_id", F.col("source").alias("scope_id"), "n_chars"), ["scope_id"], "doc_id")
 
 
-@query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
-def b4_delete_cascade(spark, d):  # noqa: ANN001, ANN201
-    gone = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, d, "documents").join(gone, "doc_id", "left_anti").select("doc_id", "lang")
-
-
-@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY conv_id")
-def a12_key_scan(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'DEVICE_INTEGRITY_ROOT_DETECTED' WHEN event_id % 3 = 0 THEN 'DEVICE_INTEGRITY_PLAY_ATTESTATION_FAILED' END AS rule_id FROM events")
 def n6_integrity_gate(spark, d):  # noqa: ANN001, ANN201
     i = F.col("event_id")
@@ -157,10 +97,114 @@ def e7_page_ranges(spark, d):  # noqa: ANN001, ANN201
     return chunking.page_ranges(chunks, pages).select("doc_id", "seq", "page_start", "page_end")
 
 
-@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'b' END AS kind, 3 AS parts FROM benchmark")
+#: Numbers of five kinds, made from the customers' keys; some pass their checks.
+MADE_SQL = """c AS (SELECT c_custkey AS k FROM customer),
+made AS (SELECT k, 'CREDIT_CARD' AS kind, '4' || lpad((k * 7919 % 100000000000000)::VARCHAR, 14, '0') || (k % 10) AS raw FROM c UNION ALL SELECT k, 'AADHAAR', (k % 10) || lpad((k * 104729 % 10000000000)::VARCHAR, 10, '0') || ((k // 10) % 10) FROM c
+ UNION ALL SELECT k, 'IBAN', 'XK' || lpad((k % 100)::VARCHAR, 2, '0') || 'BANK' || lpad((k * 15485863 % 100000000000000)::VARCHAR, 14, '0') FROM c UNION ALL SELECT k, 'PAN', 'ABC' || substr('CPHFATBLJGDEXYZ', (k % 15 + 1)::INT, 1) || 'D' || lpad((k % 10000)::VARCHAR, 4, '0') || 'F' FROM c
+ UNION ALL SELECT k, 'PHONE', CASE WHEN k % 2 = 0 THEN '+91 ' ELSE '' END || lpad((k * 31337 % 10000000000)::VARCHAR, 10, '0') FROM c)"""
+#: Luhn over 16 digits, and Verhoeff over 12 with the powers of its permutation as rows and the group's product by its rule.
+LUHN_SQL = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN raw[i]::INT ELSE (raw[i]::INT * 2) // 10 + (raw[i]::INT * 2) % 10 END)) % 10 = 0"
+VERHOEFF_SQL = """list_reduce(list_prepend(0, list_transform(range(0, 12), lambda i: (['0123456789', '1576283094', '5803796142', '8916043527', '9453126870', '4286573901', '2793806415', '7046913258'][i % 8 + 1])[raw[12 - i]::INT + 1]::INT)),
+ lambda a, b: CASE WHEN a < 5 THEN CASE WHEN b < 5 THEN (a + b) % 5 ELSE 5 + (a + b) % 5 END ELSE CASE WHEN b < 5 THEN 5 + (a - b + 5) % 5 ELSE (a - b + 5) % 5 END END) = 0"""
+
+
+def _made(spark, d):  # noqa: ANN001, ANN202
+    k = F.col("c_custkey").cast("long")
+    digits = lambda factor, n: F.lpad((k * factor % 10**n).cast("string"), n, "0")
+    made = {
+        "CREDIT_CARD": F.concat(F.lit("4"), digits(7919, 14), (k % 10).cast("string")),
+        "AADHAAR": F.concat((k % 10).cast("string"), digits(104729, 10), (F.floor(k / 10) % 10).cast("string")),
+        "IBAN": F.concat(F.lit("XK"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("BANK"), digits(15485863, 14)),
+        "PAN": F.concat(F.lit("ABC"), F.substring(F.lit("CPHFATBLJGDEXYZ"), (k % 15 + 1).cast("int"), F.lit(1)), F.lit("D"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F")),
+        "PHONE": F.concat(F.when(k % 2 == 0, "+91 ").otherwise(""), digits(31337, 10)),
+    }
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), c.alias("raw")) for n, c in made.items()])).alias("x")
+    return table(spark, d, "customer").select(k.alias("k"), pairs).select("k", "x.kind", "x.raw")
+
+
+@query(f"""WITH {MADE_SQL} SELECT k, kind, raw, CASE kind WHEN 'CREDIT_CARD' THEN {LUHN_SQL} WHEN 'AADHAAR' THEN raw[1] >= '2' AND {VERHOEFF_SQL} WHEN 'IBAN' THEN ('11102320' || substr(raw, 9) || '3320' || substr(raw, 3, 2))::HUGEINT % 97 = 1
+ WHEN 'PAN' THEN raw[4] IN ('C','P','H','F','A','T','B','L','J','G') ELSE replace(raw, '+91 ', '')[1] >= '6' END AS valid FROM made""")
+def j23_checksums(spark, d):  # noqa: ANN001, ANN201
+    ok = F.lit(False)
+    for k, f in pii.VALID.items():
+        ok = F.when(F.col("kind") == k, f(F.col("raw"))).otherwise(ok)
+    return _made(spark, d).select("k", "kind", "raw", ok.alias("valid"))
+
+
+@query(f"""WITH {MADE_SQL}, t AS (SELECT k, raw, 'u' || k || '@example.org' AS mail, substr(raw, 1, 4) || ' ' || substr(raw, 5, 4) || ' ' || substr(raw, 9, 4) || ' ' || substr(raw, 13, 4) AS card, {LUHN_SQL} AS whole, {VERHOEFF_SQL} AS part FROM made WHERE kind = 'CREDIT_CARD')
+SELECT k, 'EMAIL:5:' || (5 + length(mail)) || CASE WHEN whole THEN ',CREDIT_CARD:' || (11 + length(mail)) || ':' || (30 + length(mail)) WHEN part THEN ',AADHAAR:' || (11 + length(mail)) || ':' || (25 + length(mail)) ELSE '' END AS spans,
+ 'mail <PII:EMAIL:1> card ' || CASE WHEN whole THEN '<PII:CREDIT_CARD:2>' WHEN part THEN '<PII:AADHAAR:2> ' || substr(card, 16) ELSE card END || ' end' AS masked FROM t""")
+def n2_pii_mask_made(spark, d):  # noqa: ANN001, ANN201
+    """Texts with an address and a card number in groups, whose first three may be a number of another kind."""
+    card = F.concat_ws(" ", *[F.substring("raw", 4 * i + 1, 4) for i in range(4)])
+    t = F.concat(F.lit("mail u"), F.col("k").cast("string"), F.lit("@example.org card "), card, F.lit(" end"))
+    r = _made(spark, d).where("kind = 'CREDIT_CARD'").select("k", t.alias("text")).withColumn("s", pii.detect(F.col("text")))
+    spans = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return r.select("k", spans.alias("spans"), pii.mask(F.col("text"), F.col("s"))["masked_text"].alias("masked"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN m || ' B' ELSE CASE WHEN m < 1024 THEN printf('%.1f', m::DOUBLE) ELSE printf('%.1f', m / 1024.0) END || ' ' || substr('BKMGTP', (p_partkey % 5 + CASE WHEN m < 1024 THEN 1 ELSE 2 END)::INT, 1) || 'B' END AS shown
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 7919 % 1000 ELSE (p_partkey * 7919 % 2000) * 2 + 1 END AS m FROM part)""")
+def j40_format_bytes(spark, d):  # noqa: ANN001, ANN201
+    """Sizes of every power; odd multiples, so that no size lies between two shown ones."""
+    k = F.col("p_partkey").cast("long")
+    m = F.when(k % 5 == 0, k * 7919 % 1000).otherwise(k * 7919 % 2000 * 2 + 1)
+    return table(spark, d, "part").select("p_partkey", text.format_bytes((m * F.pow(F.lit(1024), k % 5)).cast("long")).alias("shown"))
+
+
+@query("SELECT event_id, least(2000, 200 * power(2, event_id % 12))::BIGINT AS delay FROM events")
+def p6_retry_delays(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "events").select("event_id", text.retry_delay(F.col("event_id") % 12 + 1).alias("delay"))
+
+
+@query("""SELECT event_id, greatest(1, least(16, floor((CASE h WHEN 'MODERATE' THEN 12 WHEN 'THROTTLED' THEN 8 WHEN 'CRITICAL' THEN 1 ELSE 16 END) * (CASE WHEN f < 0.15 THEN 0.5 WHEN f < 0.3 THEN 0.75 ELSE 1 END))))::INT AS batch, CASE h WHEN 'MODERATE' THEN 50 WHEN 'THROTTLED' THEN 250 WHEN 'CRITICAL' THEN 1000 ELSE 0 END AS delay
+FROM (SELECT event_id, ['NORMAL', 'MODERATE', 'THROTTLED', 'CRITICAL', NULL][event_id % 5 + 1] AS h, (event_id % 97) / 97.0::DOUBLE AS f FROM events)""")
+def p4_backpressure(spark, d):  # noqa: ANN001, ANN201
+    h = F.element_at(F.array(F.lit("NORMAL"), F.lit("MODERATE"), F.lit("THROTTLED"), F.lit("CRITICAL"), F.lit(None)), (F.col("event_id") % 5 + 1).cast("int"))
+    e = table(spark, d, "events").select("event_id", h.alias("h"), (F.col("event_id") % 97 / F.lit(97.0)).alias("f"))
+    return e.select("event_id", text.batch_size(F.col("h"), F.col("f")).alias("batch"), text.throttle_delay(F.col("h")).alias("delay"))
+
+
+@query("""SELECT 'm' || p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE p_partkey % 5 END::INT AS version, CASE WHEN p_partkey % 2 = 0 THEN 'MIT' ELSE 'Unknown' END AS license, (20 + p_partkey % 20)::INT AS min_os_version FROM part WHERE p_size * 20 <= 500 AND 20 + p_partkey % 20 <= 30 AND p_partkey % 3 <> 1
+UNION ALL SELECT 'n' || p_partkey, 1, 'Unknown', 26 FROM part""")
+def a13_model_catalogue(spark, d):  # noqa: ANN001, ANN201
+    """A catalogue file for each part, with one model in full and one that has its name alone."""
+    k = F.col("p_partkey").cast("long")
+    abis = F.when(k % 3 == 0, F.array(F.lit("arm64"), F.lit("x86"))).when(k % 3 == 1, F.array(F.lit("x86"))).otherwise(F.array().cast("array<string>"))
+    full = F.struct(F.concat(F.lit("m"), k.cast("string")).alias("id"), F.when(k % 5 != 0, k % 5).alias("version"), F.when(k % 2 == 0, "MIT").alias("license"), (F.col("p_size") * 20).alias("minRamBytes"), (k % 20 + 20).alias("minOsVersion"), abis.alias("supportedAbis"))
+    bare = F.struct(F.concat(F.lit("n"), k.cast("string")).alias("id"))
+    j = F.concat(F.lit('{"models":['), F.to_json(full), F.lit(","), F.to_json(bare), F.lit("]}"))
+    m = store.parse_model_catalog(table(spark, d, "part").select(j.alias("json")))
+    return store.compatible_models(m, 500, 30, ["arm64"]).select("id", "version", "license", "min_os_version")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS doc_id, c_custkey || ',' || c_name || ',' || c_mktsegment AS line, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)
+SELECT doc_id::BIGINT AS doc_id, (n // 50)::INT AS ord, 'id,name,segment' AS headers, string_agg(line, ';' ORDER BY n) AS rows FROM c GROUP BY doc_id, n // 50""")
+def a3_csv_tables(spark, d):  # noqa: ANN001, ANN201
+    """A CSV text for each nation: quoted names, spaces about cells and a blank line."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit('",  '), F.col("c_mktsegment"))
+    docs = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))).alias("l"))
+    body = F.concat(F.lit("id, name,segment\n\n"), F.array_join(F.transform("l", lambda x: x["l"]), "\n"))
+    t = parsers.parse_csv(docs.select("doc_id", body.alias("text")))
+    return t.select("doc_id", "ord", F.array_join("headers", ",").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
+
+
+@query("""SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN 'key | name' || chr(10) || '--- | ---' || chr(10) ELSE '' END || string_agg(n_nationkey || ' | ' || n_name || chr(10), '' ORDER BY n_nationkey) AS shown FROM nation GROUP BY n_regionkey""")
+def g5_format_table(spark, d):  # noqa: ANN001, ANN201
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))
+    t = table(spark, d, "nation").groupBy("n_regionkey").agg(rows.alias("r"))
+    heads = F.when(F.col("n_regionkey") % 2 == 0, F.array(F.lit("key"), F.lit("name"))).otherwise(F.array().cast("array<string>"))
+    return t.select("n_regionkey", chunking.format_table(heads, F.col("r")).alias("shown"))
+
+
+@query("""WITH s AS (SELECT item_id, unnest([{'pos': 0, 'kind': 'text', 'body': text}, {'pos': 1, 'kind': 'code', 'body': 'x | ' || item_id || chr(10) || 'y'}, {'pos': 2, 'kind': 'text', 'body': '| lone ' || item_id || ' |'}, {'pos': 3, 'kind': 'table', 'body': '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || item_id || ' | 2 |'}, {'pos': 4, 'kind': 'text', 'body': text}]) AS s FROM benchmark WHERE item_id % 2 = 0
+ UNION ALL SELECT item_id, unnest([{'pos': 0, 'kind': 'table', 'body': '| a | b |' || chr(10) || '|---|---|'}, {'pos': 1, 'kind': 'text', 'body': text}]) FROM benchmark WHERE item_id % 2 = 1)
+SELECT item_id, s.pos::INT AS pos, s.kind AS kind, md5(s.body) AS h FROM s""")
 def j39_markdown_segments(spark, d):  # noqa: ANN001, ANN201
-    fence = "```"
-    body = F.concat(F.lit("intro\n"), F.lit(fence + "py\ncode | here\n" + fence + "\n"), F.lit("| lone |\n"), F.lit("outro"))
-    df = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "a").otherwise("b").alias("kind"), body.alias("text"))
-    segs = text.markdown_segments(F.col("text"))
-    return df.select("item_id", "kind", F.size(segs).alias("parts"))
+    """Each item's text about a fence, a bar line that is no table, and a table; or after a table alone."""
+    i, t, fence = F.col("item_id").cast("string"), F.col("text"), "```"
+    rule = F.lit("| a | b |\n|---|---|\n")
+    even = F.concat(t, F.lit(f"\n{fence}py\nx | "), i, F.lit(f"\ny\n{fence}\n| lone "), i, F.lit(" |\n"), rule, F.lit("| "), i, F.lit(" | 2 |\n"), t)
+    doc = F.when(F.col("item_id") % 2 == 0, even).otherwise(F.concat(rule, t))
+    segs = table(spark, d, "benchmark").select("item_id", F.posexplode(text.markdown_segments(doc)).alias("pos", "s"))
+    return segs.select("item_id", "pos", F.col("s.kind").alias("kind"), F.md5(F.col("s.body").cast("binary")).alias("h"))

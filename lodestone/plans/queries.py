@@ -318,10 +318,13 @@ def a2_html_elements(spark, d):  # noqa: ANN001, ANN201
     return e.select("doc_id", "ord", "kind", "level", F.length("text").alias("n"))
 
 
-@query("""WITH m(mime) AS (VALUES ('application/pdf'), ('text/Markdown'), ('text/html'), ('text/csv'), ('image/png'), ('application/msword'), ('video/mp4')) SELECT mime, CASE lower(mime) WHEN 'application/pdf' THEN 'pdf' WHEN 'text/markdown' THEN 'text' WHEN 'text/html' THEN 'html' WHEN 'text/csv' THEN 'tabular' WHEN 'image/png' THEN 'image' WHEN 'application/msword' THEN 'docx' END AS parser FROM m""")
+MIMES = ("application/pdf", "text/Markdown", "text/html", "text/csv", "image/png", "application/msword", "video/mp4", "TEXT/PLAIN")
+
+
+@query(f"""SELECT page_id, m AS mime, CASE lower(m) WHEN 'application/pdf' THEN 'pdf' WHEN 'text/markdown' THEN 'text' WHEN 'text/plain' THEN 'text' WHEN 'text/html' THEN 'html' WHEN 'text/csv' THEN 'tabular' WHEN 'image/png' THEN 'image' WHEN 'application/msword' THEN 'docx' END AS parser FROM (SELECT page_id, {list(MIMES)}[page_id % 8 + 1] AS m FROM pages)""")
 def a8_parser_dispatch(spark, d):  # noqa: ANN001, ANN201
-    m = spark.createDataFrame([(x,) for x in ("application/pdf", "text/Markdown", "text/html", "text/csv", "image/png", "application/msword", "video/mp4")], "mime string")
-    return m.select("mime", parsers.parser_for(F.col("mime")).alias("parser"))
+    m = F.element_at(F.array(*map(F.lit, MIMES)), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", m.alias("mime"), parsers.parser_for(m).alias("parser"))
 
 
 # Access, policy, routing
@@ -416,19 +419,6 @@ def n8_circuit_breaker(spark, d):  # noqa: ANN001, ANN201
 
 # Personal data and prompts
 
-PII_ROWS = [
-    (1, "mail a.b@example.com now"), (2, "card 4111 1111 1111 1111 ok"), (3, "card 4111111111111112 bad"), (4, "pan ABCPD1234F"), (5, "id 2182 1709 3781 here"), (6, "id 218217093782"),
-    (7, "call +91 9876543210 today"), (8, "iban GB82 WEST 1234 5698 7654 32"), (9, "none at all"), (10, ""), (11, "two x@y.org and +14155552671 end"),
-]
-
-
-@query("SELECT * FROM (VALUES (1, 'EMAIL:5:20', 'mail <PII:EMAIL:1> now'), (2, 'CREDIT_CARD:5:24', 'card <PII:CREDIT_CARD:1> ok'), (3, '', 'card 4111111111111112 bad'), (4, 'PAN:4:14', 'pan <PII:PAN:1>'), (5, 'AADHAAR:3:17', 'id <PII:AADHAAR:1> here'), (6, 'PHONE:5:15', 'id 21<PII:PHONE:1>'), (7, 'PHONE:5:19', 'call <PII:PHONE:1> today'), (8, 'IBAN:5:32', 'iban <PII:IBAN:1>'), (9, '', 'none at all'), (10, '', ''), (11, 'EMAIL:4:11,PHONE:16:28', 'two <PII:EMAIL:1> and <PII:PHONE:2> end')) t(id, spans, masked)")
-def n2_pii_mask_fixtures(spark, d):  # noqa: ANN001, ANN201
-    r = spark.createDataFrame(PII_ROWS, "id int, text string").withColumn("s", pii.detect(F.col("text")))
-    spans = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return r.select("id", spans.alias("spans"), pii.mask(F.col("text"), F.col("s"))["masked_text"].alias("masked"))
-
-
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS emails FROM documents WHERE len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) > 0""")
 def n1_pii_emails(spark, d):  # noqa: ANN001, ANN201
     s = table(spark, d, "documents").select("doc_id", F.size(F.filter(pii.detect(F.col("text")), lambda x: x["kind"] == "EMAIL")).alias("emails"))

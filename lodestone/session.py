@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,23 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return df
     cores = spark.sparkContext.defaultParallelism
     return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where all is one machine,
+    may fall back to a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lodestone-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df written to the shared folder and read from there: what made it runs once, and a lost executor costs a reread."""
+    path = f"{shared_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

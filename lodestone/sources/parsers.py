@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_html
+from lodestone.session import kept
 
 ELEMENT = "doc_id long, ord int, kind string, text string, level int, headers array<string>, rows array<array<string>>, page int, section string"
 # What a source may hold.
@@ -171,9 +172,15 @@ def parse_csv(docs: DataFrame, delimiter: str = ",", group: int = ROW_GROUP) ->
 
 
 def row_groups(rows: DataFrame, order: list[str], group: int = ROW_GROUP) -> DataFrame:
-    """Spark's own CSV reader's rows, dealt to tables of `group` rows."""
-    numbered = rows.withColumn("__n", F.row_number().over(W.orderBy(*order)))
-    return numbered.withColumn("ord", F.floor((F.col("__n") - 1) / group).cast("int")).groupBy("ord").agg(F.count("*").alias("n_rows"))
+    """Spark's own CSV reader's rows, dealt to tables of `group` rows: (ord, n_rows). Rows are sorted by ranges, and a row's
+    number is its place in its range after the rows of the ranges before, so no task sees the whole table."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(rows.select(*order).repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    ahead = counts.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    numbered = dealt.withColumn("__place", place).join(F.broadcast(ahead), "__range")  # a row of two numbers for each range
+    return numbered.groupBy(F.floor((F.col("__ahead") + F.col("__place") - 1) / group).cast("int").alias("ord")).agg(F.count("*").alias("n_rows"))
 
 
 class LimitError(ValueError):

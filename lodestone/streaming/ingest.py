@@ -50,9 +50,15 @@ def daily_quota(stream: DataFrame, limit: int, ts: str = "ts", tokens: str = "to
     return days.select(F.col("window.start").alias("day"), "tokens", (F.col("tokens") > limit).alias("over_limit"))
 
 
-def latest_value(stream: DataFrame, key: list[str], value: str, ts: str = "ts") -> DataFrame:
-    """The last value of each key (update mode)."""
-    return stream.groupBy(*key).agg(F.max(F.struct(ts, value)).alias("l")).select(*key, F.col(f"l.{value}").alias(value), F.col(f"l.{ts}").alias(ts))
+def latest_value(stream: DataFrame, key: list[str], value: str, ts: str = "ts", forget: str | None = None) -> DataFrame:
+    """The last value of each key (update mode). State is a row for each key seen; with `forget`, a delay such as
+    "7 days", a key without events for so long behind the watermark is forgotten and its state freed."""
+    if forget is None:
+        return stream.groupBy(*key).agg(F.max(F.struct(ts, value)).alias("l")).select(*key, F.col(f"l.{value}").alias(value), F.col(f"l.{ts}").alias(ts))
+    gap = F.window(ts, forget).alias("__w")
+    # One row of state for a key and stretch of time; the watermark frees stretches that lie behind it.
+    last = stream.withWatermark(ts, forget).groupBy(*key, gap).agg(F.max(F.struct(ts, value)).alias("l"))
+    return last.select(*key, F.col(f"l.{value}").alias(value), F.col(f"l.{ts}").alias(ts))
 
 
 def distinct_contents(stream: DataFrame, content: str, ts: str = "ts", late: str = "1 day") -> DataFrame:

@@ -1,5 +1,7 @@
 """The store's mutations and the streaming operators, over temporary folders."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,108 @@ def test_store(spark, tmp_path):
     assert s.read("chunks", "a").count() == 0 and s.read("collections", "a").count() == 0
 
 
+def test_store_survives_writers_that_die(spark, tmp_path, monkeypatch):
+    s = store.CorpusStore(spark, str(tmp_path))
+    s.create_collection("a", "c", 1)
+    one = lambda i, text: _chunks(spark, [(f"x{i}", f"d{i}", 0, text, 1, {}, [1.0])])
+    s.upsert("a", "c", one(1, "first"))
+    before = sorted(map(str, s.read("chunks", "a").collect()))
+
+    class Dies(Exception):
+        pass
+
+    fs = type(s)._fs
+    for method in ("rename", "exists"):
+
+        class Broken:
+            def __init__(self, real):
+                self.real = real
+
+            def __getattr__(self, name):
+                if name == method:
+                    raise Dies
+                return getattr(self.real, name)
+
+        monkeypatch.setattr(type(s), "_fs", lambda self, Broken=Broken: Broken(fs(self)))
+        with pytest.raises(Dies):
+            s._merge("chunks", one(2, "second").select("chunk_id", "document_id", "seq", "content", "token_count", "metadata"), "a", "c")
+        monkeypatch.setattr(type(s), "_fs", fs)
+        assert sorted(map(str, s.read("chunks", "a").collect())) == before
+    # After the rename, before older versions go: the new base alone counts.
+    s.upsert("a", "c", one(1, "changed"))
+    part = tmp_path / "chunks" / "scope_id=a" / "collection_id=c"
+    shutil.copytree(part, tmp_path / "kept")
+    s.compact("chunks", "a", "c")
+    for old in (tmp_path / "kept").iterdir():
+        shutil.copytree(old, part / old.name)
+    assert [r.content for r in s.read("chunks", "a").collect()] == ["changed"]
+
+
+def test_deltas_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MAX_DELTAS", 3)
+    s = store.CorpusStore(spark, str(tmp_path))
+    want = {}
+    for n in range(9):
+        scope, key = "a/b" if n % 2 else "a", f"s{n % 3}"
+        s.add_messages(scope, "w 1", spark.createDataFrame([(key, n % 2, "user", f"said {n}"), (key, n % 2, "user", f"said {n}")], "session_id string, turn long, role string, content string"))
+        want[scope, key, n % 2] = f"said {n}"
+        assert all(len(v) <= 4 for v in s._versions("messages").values())
+    got = {(r.scope_id, r.session_id, r.turn): r.content for r in s.read("messages", None).collect()}
+    assert got == want
+    assert {r.content for r in s.messages("a", "w 1", "s0").collect()} == {v for k, v in want.items() if k[:2] == ("a", "s0")}
+    s.clear_messages("a", "w 1", "s0")
+    assert s.messages("a", "w 1", "s0").count() == 0 and s.read("messages", "a/b").count() == sum(k[0] == "a/b" for k in want)
+
+
+def test_upsert_makes_its_rows_once(spark, tmp_path):
+    s = store.CorpusStore(spark, str(tmp_path))
+    s.create_collection("a", "c", 1)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(text):  # noqa: ANN001, ANN202
+        made.add(1)
+        return [1.0]
+
+    rows = spark.range(20).select(F.col("id").cast("string").alias("chunk_id"), F.lit("d").alias("document_id"), F.col("id").cast("int").alias("seq"), F.lit("t").alias("content"), F.lit(1).alias("token_count"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), embed(F.col("id").cast("string")).alias("vector"))
+    s.upsert("a", "c", rows)
+    assert made.value == 20 and s.read("vectors", "a").count() == 20
+
+
+def test_documents_and_data_subjects(spark, tmp_path):
+    import json
+
+    from lodestone.operators.lexical import TextIndex
+
+    s = store.CorpusStore(spark, str(tmp_path / "store"))
+    for c in ("c", "c 2"):
+        s.create_collection("a", c, 1)
+        docs = spark.createDataFrame([(f"{c}-d{i}", f"name {i}", "text/plain", 5, f"sum{c}{i}", i) for i in range(3)], "document_id string, name string, mime_type string, size_bytes long, checksum string, created_at long")
+        s.upsert("a", c, _chunks(spark, [(f"{c}-x{i}{j}", f"{c}-d{i}", j, f"words of {i} part {j}", 3, {}, [1.0]) for i in range(3) for j in range(2)]), docs)
+    s.save_checkpoint("a", "c", "c-d1", "EMBEDDING", 1, 4)
+    s.save_checkpoint("a", "c", "c-d2", "QUEUED", 0, 0)
+    s.add_messages("a", "c", spark.createDataFrame([("mine", 0, "user", "hello"), ("other", 0, "user", "hi")], "session_id string, turn long, role string, content string"))
+    assert s.list_documents("a").count() == 6 and s.list_documents("a", "c 2").count() == 3
+    assert {r.document_id: (r.stage, r.progress) for r in s.status("a").collect()} == {"c-d1": ("EMBEDDING", 0.25), "c-d2": ("QUEUED", 0.0)}
+    owners = spark.createDataFrame([("u", "document", "c-d1"), ("u", "document", "c 2-d0"), ("u", "session", "mine"), ("v", "document", "c-d0")], "user_id string, kind string, id string")
+    consents = spark.createDataFrame([("u", "search", True), ("v", "search", False)], "user_id string, purpose string, granted boolean")
+    held = json.loads(s.export_subject("a", "u", owners, consents).first().json)
+    assert [d["document_id"] for d in held["documents"]] == ["c 2-d0", "c-d1"] and [m["content"] for m in held["messages"]] == ["hello"] and len(held["consents"]) == 1
+    receipt = s.erase_subject("a", "u", owners, "r1", 7).first()
+    proof = governance.deletion_proof(F.lit("r1"), F.lit("u"), F.lit(6), F.lit(7))
+    assert (receipt.documents, receipt.chunks) == (2, 4) and receipt.proof == spark.range(1).select(proof).first()[0]
+    assert {r.document_id for r in s.list_documents("a").collect()} == {"c-d0", "c-d2", "c 2-d1", "c 2-d2"} and s.read("messages", "a").count() == 1 and s.status("a").count() == 1
+    assert json.loads(s.export_subject("a", "u", owners, consents).first().json)["documents"] == []
+    index = TextIndex(spark, str(tmp_path / "index"))
+    assert s.reindex("a", "c", index, fake_embedding_of_one).first().completed == 2
+    found = index.search(spark.createDataFrame([(1, "part 1")], "query_id int, text string"), 9)
+    assert {r.chunk_id for r in found.collect()} == {"c-x00", "c-x01", "c-x20", "c-x21"}
+
+
+def fake_embedding_of_one(text):  # noqa: ANN001, ANN201
+    return F.transform(F.array(F.length(text).cast("double")), lambda x: x)
+
+
 def test_streaming_ingestion_resumes(spark, tmp_path):
     s = store.CorpusStore(spark, str(tmp_path / "store"))
     s.create_collection("a", "c", 16)
