@@ -1,7 +1,8 @@
 """WARC archives compressed with Zstandard, one frame for each record.
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the
-dictionary for all frames after it. Each task writes one archive to the shared
+dictionary for all frames after it; the reader takes a dictionary that is itself
+compressed as well. Each task writes one archive to the shared
 folder and reports it in a manifest; only archives of tasks that ended well are
 in the manifest, so a lost executor leaves at most an orphan file. The reader
 streams an archive, decodes frame by frame and validates every record.
@@ -9,8 +10,11 @@ streams an archive, decodes frame by frame and validates every record.
 Defined results: a null html is an empty payload; a null url becomes an empty
 target; control characters and spaces in a url are percent-encoded in the header;
 a null page_id is allowed, gets no page header and never answers for another
-page; rows that repeat the largest page_id of a group are all responses; an empty
-table gives an empty manifest and no records. Extra columns are ignored.
+page; rows that repeat the largest page_id of a group are all responses, and the one
+with the greatest url is referred to; a record's id is made of page_id, url and
+payload digest, so that only rows equal in all three share one; a very long html is
+one record, held whole by the task that writes or reads it; an empty table gives an
+empty manifest and no records. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import scratch_path, staged
 
 SKIPPABLE = 0x184D2A5D
+ZSTD_FRAME = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -47,35 +52,36 @@ RECORDS = (
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, response_id): response_id is the page that a record revisits, null for responses."""
+    """(page_id, url, payload, digest, response_id, response_url): the page and url that a record revisits, null for responses."""
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url"), F.lit("")).alias("url"),
         F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"digest": F.sha1("payload"), "key": F.sha2("payload", 256)})
     long_enough = F.octet_length("payload") >= REVISIT_BYTES
-    copies = base.where(long_enough).groupBy("key").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("copy_key"), "response_id")
+    copies = base.where(long_enough).groupBy("key").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("r"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("copy_key"), F.col("r.page_id").alias("response_id"), F.col("r.url").alias("response_url"))
     joined = base.join(copies, (base.key == F.col("copy_key")) & long_enough, "left")
     revisits = F.coalesce(F.col("page_id") < F.col("response_id"), F.col("response_id").isNotNull())
-    return joined.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("response_id")).alias("response_id"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("response_id")).alias("response_id"), F.when(revisits, F.col("response_url")).alias("response_url"))
 
 
 def _uri(url: str) -> bytes:
     return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url.encode("utf-8", "replace"))
 
 
-def record_id(page_id: int | None) -> bytes:
-    return b"<urn:page:%s>" % (b"none" if page_id is None else str(page_id).encode())
+def record_id(page_id: int | None, url: str, digest: str) -> bytes:
+    place = hashlib.sha1(f"{url}\n{digest}".encode("utf-8", "replace")).hexdigest()[:24]
+    return f"<urn:page:{'none' if page_id is None else page_id}:{place}>".encode()
 
 
-def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, response_id: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, response_id: int | None = None, response_url: str = "", date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC record. A revisit keeps the HTTP header, with the full payload's length, and leaves the payload out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if response_id is None else http
     lines = [
         VERSION,
         b"WARC-Type: " + (b"response" if response_id is None else b"revisit"),
-        b"WARC-Record-ID: " + record_id(page_id),
+        b"WARC-Record-ID: " + record_id(page_id, url, digest),
         b"WARC-Date: " + date.encode(),
         b"WARC-Target-URI: " + _uri(url),
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
@@ -86,7 +92,7 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, res
     if page_id is not None:
         lines.append(b"X-Page-ID: %d" % page_id)
     if response_id is not None:
-        lines += [b"WARC-Refers-To: " + record_id(response_id), b"WARC-Profile: " + PROFILE.encode()]
+        lines += [b"WARC-Refers-To: " + record_id(response_id, response_url, digest), b"WARC-Profile: " + PROFILE.encode()]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -120,7 +126,7 @@ def parse_record(data: bytes) -> dict:
     digest = h["warc-payload-digest"].removeprefix("sha1:")
     revisit = h["warc-type"] == "revisit"
     if revisit:
-        m = re.fullmatch(r"<urn:page:(-?\d+)>", h.get("warc-refers-to", ""))
+        m = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]+>", h.get("warc-refers-to", ""))
         if not m or payload:
             raise ValueError("revisit without a reference, or with a payload")
         refers = int(m[1])
@@ -196,6 +202,8 @@ def read_archive(src: BinaryIO) -> Iterator[dict]:
     if magic != SKIPPABLE:
         raise ValueError("archive without a leading dictionary frame")
     words = _exactly(src, n)
+    if words[:4] == ZSTD_FRAME:
+        words = zstandard.ZstdDecompressor().stream_reader(words).read()
     unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
     data = src.read(READ_BYTES)
     while data:
@@ -218,9 +226,10 @@ def _exactly(src: BinaryIO, n: int) -> bytes:
     return bytes(data)
 
 
-def write_warc(pages: DataFrame) -> DataFrame:
-    """Writes pages (page_id, url, html) to archives in the shared folder; the manifest (path, records, bytes)."""
-    folder = scratch_path(pages.sparkSession, "warc")
+def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes pages (page_id, url, html) to archives in a folder that driver and executors share, by default one beside
+    the staged tables; the manifest (path, records, bytes)."""
+    folder = folder.rstrip("/") if folder else scratch_path(pages.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -230,21 +239,22 @@ def write_warc(pages: DataFrame) -> DataFrame:
         writer = out = None
         n = 0
         for b in batches:
-            for page_id, url, payload, digest, response_id in zip(*(b.column(i) for i in range(5)), strict=True):
+            for page_id, url, payload, digest, response_id, response_url in zip(*(b.column(i) for i in range(6)), strict=True):
                 if writer is None:
                     store, root = fs.FileSystem.from_uri(folder)
                     store.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)  # not by the name's ending
                     writer = ArchiveWriter(out)
-                writer.add(record_bytes(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), response_id.as_py()))
+                writer.add(record_bytes(*(x.as_py() for x in (page_id, url, payload, digest, response_id, response_url))))
                 n += 1
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [os.path.join(folder, name)], "records": pa.array([n], pa.int64()), "bytes": pa.array([writer.written], pa.int64())})
 
-    manifest, _ = staged(plan_records(pages).mapInArrow(write, MANIFEST), "warc-manifest")
+    # A row for each task: one file holds them.
+    manifest, _ = staged(plan_records(pages).mapInArrow(write, MANIFEST).repartition(1), "warc-manifest")
     return manifest
 
 
@@ -260,7 +270,7 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path in b.column(0).to_pylist():
                 store, root = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with store.open_input_stream(root) as src:
+                with store.open_input_stream(root, compression=None) as src:
                     for r in read_archive(src):
                         held += len(r["payload"] or b"") if payloads else 64
                         rows.append(r if payloads else r | {"payload": None})
