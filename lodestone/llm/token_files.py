@@ -269,13 +269,15 @@ class ShardWriter:
             f.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) to shards in ascending doc_id order; the manifest has a row for each.
 
     tokenizer_path: a path that every executor has, or a function that finds it there.
+    folder: where the files go, shared by driver and executors; by default beside the
+    staged tables.
     """
     spark = docs.sparkSession
-    folder = scratch_path(spark, "tokens")
+    folder = folder.rstrip("/") if folder else scratch_path(spark, "tokens")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +309,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], end_i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return staged(ordered.mapInArrow(write, MANIFEST), "token-manifest")[0]
+    # A row for each shard: one file holds them.
+    return staged(ordered.mapInArrow(write, MANIFEST).repartition(1), "token-manifest")[0]
 
 
 def sequence_at(shard: pa.ipc.RecordBatchFileReader, i: int) -> tuple[pa.Array, pa.Array]:
