@@ -23,17 +23,10 @@ from lodestone.operators.lexical import bm25_search, phrase_prefix, phrase_searc
 
 RRF_K = 60
 TOP_K, THRESHOLD, LAMBDA = 5, 0.35, 0.7
-#: Query sets up to this size are sent to every task; larger ones are joined by Spark as it sees fit.
-BROADCAST_QUERIES = 10_000
 #: Query vectors are sent to the tasks so many bytes at a time.
 QUERY_BYTES = 4_000_000
 
 
-def small(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
-    """The queries with a broadcast hint if a count of at most limit + 1 rows proves them few."""
-    return F.broadcast(queries) if queries.limit(limit + 1).count() <= limit else queries
-
-
 def matches_filter(metadata: Column, wanted: dict[str, str]) -> Column:
     """Every pair equals; a missing key fails."""
     return reduce(lambda a, kv: a & F.coalesce(metadata[kv[0]] == kv[1], F.lit(False)), wanted.items(), F.lit(True))
@@ -145,7 +138,7 @@ def rerank_exact(candidates: DataFrame, vectors: DataFrame, queries: DataFrame,
     from lodestone.functions.vectors import cosine
 
     v = candidates.select("query_id", "chunk_id").join(vectors.select("chunk_id", "vector"), "chunk_id")
-    scored = v.join(small(queries.select("query_id", F.col("vector").alias("qv"))), "query_id").select("query_id", "chunk_id", cosine(F.col("qv"), F.col("vector")).alias("score"))
+    scored = v.join(queries.select("query_id", F.col("vector").alias("qv")), "query_id").select("query_id", "chunk_id", cosine(F.col("qv"), F.col("vector")).alias("score"))
     return rank_top_k(scored, k, "chunk_id")
 
 

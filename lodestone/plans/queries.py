@@ -66,11 +66,12 @@ def h1_quantized_cosine_topk(spark, d):  # noqa: ANN001, ANN201
 
 @query(QUANT_SQL + """SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS cosine, round(list_dot_product(a.v, b.v), 6) AS dot, round(1 / (1 + list_distance(a.v, b.v)), 6) AS euclid,
   round(list_dot_product(a.q, b.q) * a.scale * b.scale, 6) AS q_dot, round(1 / (1 + sqrt(greatest(0.0, a.n * a.n + b.n * b.n - 2 * list_dot_product(a.q, b.q) * a.scale * b.scale))), 6) AS q_euclid
-FROM q a, q b WHERE a.vec_id % 20 = 0""")
+FROM q a JOIN q b ON a.vec_id = b.vec_id - b.vec_id % 20""")
 def j5_metrics_all(spark, d):  # noqa: ANN001, ANN201
+    """Every vector with the one whose number it falls to, by each metric."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.quantize(F.col("embedding")).alias("qv"))
-    one = search.small(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), F.col("qv").alias("qa")))
-    j, a, b = e.crossJoin(one), F.col("a"), F.col("embedding")
+    one = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), F.col("qv").alias("qa"))
+    j, a, b = e.withColumn("query_id", F.col("vec_id") - F.col("vec_id") % 20).join(one, "query_id"), F.col("a"), F.col("embedding")
     return j.select("query_id", "vec_id", r6(vectors.cosine(a, b)).alias("cosine"), r6(vectors.dot(a, b)).alias("dot"), r6(vectors.euclidean_score(a, b)).alias("euclid"), r6(vectors.quantized_similarity(F.col("qa"), F.col("qv"), "DOT_PRODUCT")).alias("q_dot"), r6(vectors.quantized_similarity(F.col("qa"), F.col("qv"), "EUCLIDEAN")).alias("q_euclid"))
 
 
@@ -231,11 +232,12 @@ def j19_phrase_prefix(spark, d):  # noqa: ANN001, ANN201
     return hits.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("hits"), F.min("chunk_id").alias("first_doc"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM b a JOIN b ON a.item_id < b.item_id""")
+@query("""WITH b AS (SELECT doc_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS t FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM b a JOIN b ON a.doc_id = b.doc_id - 1""")
 def j13_jaccard_pairs(spark, d):  # noqa: ANN001, ANN201
-    b = table(spark, d, "benchmark")
-    other = search.small(b.select(F.col("item_id").alias("b"), F.col("text").alias("tb")))
-    return b.join(other, F.col("item_id") < F.col("b")).select(F.col("item_id").alias("a"), "b", r6(text.jaccard(F.col("text"), F.col("tb"))).alias("jaccard"))
+    """Every document with the one after it."""
+    docs = table(spark, d, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("tb"))
+    return docs.join(after, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), r6(text.jaccard(F.col("text"), F.col("tb"))).alias("jaccard"))
 
 
 @query("""WITH h AS (SELECT *, sha256(text) AS checksum, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY text) AS copies FROM documents) SELECT doc_id, checksum, copies FROM h WHERE r = 1""")
