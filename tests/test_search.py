@@ -146,3 +146,47 @@ def test_index_search_equals_brute_force_over_its_cells(spark):
         near = set(np.argsort(-(np.asarray(centres) @ np.array(r.vector)), kind="stable")[:2].tolist())
         got = {h.chunk_id for h in search.ann_search(celled, centres, q.where(F.col("query_id") == r.query_id), 10, 2).collect()} if r.query_id < 3 else set()
         assert all(cell[c] in near for c in got)
+
+
+def plain_pipeline(rows, vecs, queries, k, threshold, lam):
+    """Both legs, fusion, gate and diversification by plain loops: (query, chunk, rank)."""
+    from lodestone.functions.vectors import Scorer
+
+    content, out = dict(rows), []
+    lexical_hits = plain_bm25(rows, [(q, t) for q, t, _ in queries], 4 * k)
+    for q, _, v in queries:
+        score = Scorer(np.array([v])).scores(np.array(list(vecs.values())))[0]
+        dense = sorted(zip(map(str, vecs), score, strict=True), key=lambda s: (-round(s[1], 6), s[0]))[: 4 * k]
+        v_rank = {c: i + 1 for i, (c, _) in enumerate(dense)}
+        t_rank = {c: r for qq, c, _, r in lexical_hits if qq == q}
+        far = 10**9
+        fused = {c: (1 / (60 + v_rank[c]) if c in v_rank else 0) + (1 / (60 + t_rank[c]) if c in t_rank else 0) for c in {*v_rank, *t_rank}}
+        best = sorted(fused, key=lambda c: (-round(fused[c], 6), v_rank.get(c, far), t_rank.get(c, far), c))[: 2 * k]
+        if max([s for c, s in dense if c in best], default=0) < threshold:
+            continue
+        words = {c: set(re.split(r"\s+", content[int(c)].lower())) for c in best}
+        chosen = best if len(best) <= k else [max(best, key=lambda c: (fused[c], -best.index(c)))]
+        while len(chosen) < min(k, len(best)):
+            alike = lambda c: max(len(words[c] & words[x]) / len(words[c] | words[x]) for x in chosen)  # noqa: B023, E731
+            chosen.append(max((c for c in best if c not in chosen), key=lambda c: (lam * fused[c] - (1 - lam) * alike(c), -best.index(c))))
+        out += [(q, c, i + 1) for i, c in enumerate(chosen)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("lam", [0.7, 0.2])
+def test_the_whole_retrieval_equals_plain_loops(spark, lam):
+    rows, queries = made(57, 80)
+    rows = [(i, t) for i, t in rows if words_of(t)]
+    rng = np.random.default_rng(57)
+    vecs = {i: rng.normal(size=6) for i, _ in rows}
+    queries = [(q, t, rng.normal(size=6).tolist()) for q, t in queries[:15]] + [(60, "nothing", [0.0] * 6)]
+    c = spark.createDataFrame([(str(i), "d", 0, t, 1, {"k": str(i % 2)}) for i, t in rows], "chunk_id string, document_id string, seq int, content string, token_count int, metadata map<string,string>")
+    v = spark.createDataFrame([(str(i), x.tolist()) for i, x in vecs.items()], "chunk_id string, vector array<double>")
+    q = spark.createDataFrame(queries, "query_id long, text string, vector array<double>")
+    got = search.retrieve(c, v, q, 4, 0.5, lam)
+    want = plain_pipeline(rows, vecs, queries, 4, 0.5, lam)
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got.collect()) == want and {w[0] for w in want} != {x[0] for x in queries}
+    odd = [r for r in rows if r[0] % 2]
+    only = search.hybrid_search(c, v, q, 5, F.col("metadata")["k"] == "1").select("chunk_id").distinct().collect()
+    assert {int(r.chunk_id) for r in only} <= {i for i, _ in odd} and only
+    assert search.retrieve(c, v, q, 4, 0.5, None, rerank=lambda df: df.withColumn("rank", F.lit(9))).count() == 0
