@@ -154,7 +154,18 @@ def k1_recall_bound(spark, d):  # noqa: ANN001, ANN201
     return found.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("nine_of_ten"))
 
 
-@query()
+#: 64-bit products that wrap, in 128 bits.
+WRAP_SQL = "(((%s) %% 18446744073709551616 + 27670116110564327424) %% 18446744073709551616 - 9223372036854775808)::BIGINT"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, list_slice(string_split_regex(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+'), 1, 128) AS w FROM documents WHERE trim(text) <> ''),
+h AS (SELECT doc_id, w, list_transform(w, lambda s: list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) & 4294967295)) AS h FROM w),
+t AS (SELECT doc_id, flatten(list_transform(list_zip(h, w), lambda z: CASE WHEN regexp_matches(z[2], '[^\\x00-\\x7f]') THEN [(z[1] & 2147483647) % 31990 + 10, (z[1] & 2147483647) % 31990 + 10] ELSE [(z[1] & 2147483647) % 31990 + 10] END)) AS body FROM h),
+i AS (SELECT d.doc_id, list_concat(list_concat([1::BIGINT], coalesce(list_slice(body, 1, 126), [])), [2::BIGINT]) AS ids FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id),
+k AS (SELECT doc_id, generate_subscripts(ids, 1) AS p, unnest(ids) AS id FROM i),
+s AS (SELECT doc_id, p, 0 AS d, {WRAP_SQL % 'id::HUGEINT * 73244475'} AS h FROM k UNION ALL SELECT doc_id, p, d + 1, xor(m, m >> 16) FROM (SELECT doc_id, p, d, {WRAP_SQL % 'xor(h, h >> 16)::HUGEINT * 73244475'} AS m FROM s WHERE d < 16)),
+v AS (SELECT doc_id, d, avg((h & 65535) / 32768.0::DOUBLE - 1) AS x FROM s WHERE d > 0 GROUP BY doc_id, d)
+SELECT doc_id, (SELECT len(ids) FROM i WHERE i.doc_id = v.doc_id)::INT AS n, round(sqrt(sum(x * x)), 6) AS norm FROM v GROUP BY doc_id""")
 def j17_synthetic_embeddings(spark, d):  # noqa: ANN001, ANN201
     docs = table(spark, d, "documents").select("doc_id", text.embedding_tokens(F.col("text")).alias("ids"))
     v = docs.withColumn("v", vectors.embed_tokens(16)(F.col("ids")))
@@ -299,7 +310,16 @@ def l5_mmr_k3(spark, d):  # noqa: ANN001, ANN201
 
 # Parsers
 
-@query()
+#: Elements of lines k(doc_id, line_no, kind, text, level): a heading or a blank line ends a paragraph, a run of bar lines is a table.
+ELEMENTS_SQL = """, b AS (SELECT *, lag(kind) OVER w AS before FROM k WHERE kind <> 'rule' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+c AS (SELECT *, CASE kind WHEN 'table' THEN -count(*) FILTER (kind = 'table' AND before IS DISTINCT FROM 'table') OVER w WHEN 'heading' THEN line_no * 2 + 1 ELSE 2 * count(*) FILTER (kind IN ('heading', 'blank')) OVER w END AS block FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT doc_id, kind, block, min(line_no) AS first, max(level) AS level, CASE WHEN kind <> 'table' THEN length(string_agg(text, ' ' ORDER BY line_no)) END AS n FROM c WHERE kind <> 'blank' GROUP BY doc_id, kind, block)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS ord, kind, level, n FROM g"""
+
+
+@query(r"""WITH a AS (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS a FROM documents), l AS (SELECT doc_id, generate_subscripts(a, 1) AS line_no, regexp_replace(unnest(a), '^\s+|\s+$', '', 'g') AS line FROM a),
+m AS (SELECT *, CASE WHEN starts_with(line, '|') AND contains(line, '---') THEN 'rule' WHEN starts_with(line, '|') AND ends_with(line, '|') AND length(line) > 1 THEN 'table' WHEN regexp_matches(line, '^#{1,6}\s+.+$') THEN 'heading' WHEN line = '' THEN 'blank' ELSE 'text' END AS kind FROM l),
+k AS (SELECT doc_id, line_no, kind, CASE WHEN kind = 'heading' THEN trim(regexp_extract(line, '^#{1,6}\s+(.+)$', 1)) ELSE line END AS text, CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^#{1,6}')) END::INT AS level FROM m)""" + ELEMENTS_SQL)
 def a1_text_elements(spark, d):  # noqa: ANN001, ANN201
     e = parsers.parse_text(table(spark, d, "documents"))
     return e.select("doc_id", "ord", "kind", "level", F.length("text").alias("n"))
@@ -314,7 +334,15 @@ def a2_html_headings(spark, d):  # noqa: ANN001, ANN201
     return e.where("kind = 'heading'").groupBy(F.col("doc_id").alias("page_id"), "level", F.col("text").alias("title")).agg(F.count("*").alias("n"))
 
 
-@query()
+CLEAN_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(%s, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\s+', ' ', 'g'))"""
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</\s*script\s*>|<style\b.*?</\s*style\s*>|<!--.*?-->|<head\b.*?</\s*head\s*>', ' ', 'g'), '[\r\n]+', ' ', 'g') AS t FROM pages),
+h AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<h([1-6])\b[^>]*>', chr(10) || '<h\1>', 'g'), '(?i)</\s*h[1-6]\s*>', '</h>' || chr(10) || chr(10), 'g') AS t FROM t),
+s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)</?\s*(p|div|li|ul|ol|table|section|article|nav|header|footer|main|aside|blockquote|pre|body|html)\b[^>]*>', chr(10) || chr(10), 'g'), '(?i)<\s*br\s*/?>', chr(10), 'g'), '(?i)(<tr\b)', chr(10) || '\1', 'g') AS t FROM h),
+l AS (SELECT page_id AS doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS line_no, unnest(string_split(t, chr(10))) AS raw FROM s),
+m AS (SELECT doc_id, line_no, len(regexp_extract_all(raw, '(?is)<t[dh]\b[^>]*>(.*?)</\s*t[dh]\s*>')) AS cells, regexp_extract(raw, '(?i)<h([1-6])\b', 1) AS level, """ + CLEAN_SQL % "raw" + """ AS text FROM l),
+k AS (SELECT doc_id, line_no, CASE WHEN cells > 0 THEN 'table' WHEN level <> '' THEN 'heading' WHEN text = '' THEN 'blank' ELSE 'text' END AS kind, text, try_cast(level AS INT) AS level FROM m)""" + ELEMENTS_SQL)
 def a2_html_elements(spark, d):  # noqa: ANN001, ANN201
     e = parsers.parse_html(table(spark, d, "pages"))
     return e.select("doc_id", "ord", "kind", "level", F.length("text").alias("n"))
