@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, quality, setsketch, token_files
-from lodestone.llm.common import discarding, remove, scratch_path
+from lodestone.llm.common import discarding, fresh, remove, scratch_path
 from lodestone.llm.queries import tokenizer_path
 from lodestone.session import table
 
@@ -22,7 +22,8 @@ from lodestone.session import table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, score="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    score = fresh(docs, "__score")
+    return quality.score_quality(docs, model, score=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    flagged = decontaminate.flag_contaminated(docs, table(spark, sf_dir, "benchmark"), "__leak")
-    return flagged.where(~F.col("__leak")).drop("__leak")
+    leak = fresh(docs, "__leak")
+    return decontaminate.flag_contaminated(docs, table(spark, sf_dir, "benchmark"), leak).where(~F.col(leak)).drop(leak)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

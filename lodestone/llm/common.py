@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -24,6 +26,14 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -44,10 +54,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
-#: Staged tables that nothing has removed yet, oldest first.
+#: Staged tables that nothing has removed yet, oldest first. What is left when the program ends goes then.
 _tables: dict[str, None] = {}
 
 
+@atexit.register
+def _sweep() -> None:
+    spark = SparkSession.getActiveSession() if _tables else None
+    if spark is not None:
+        remove(spark, *_tables)
+
+
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again: the lineage ends there and a
     lost executor costs a reread, not a recomputation. Returns the table and its path."""
@@ -104,6 +121,42 @@ def and_all(tests: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session does not say otherwise.
+BATCH_BYTES = "4m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to Arrow batches of BATCH_BYTES if it has Spark's own setting, 64 MB: whole texts go to
+    Python in these batches, which an executor's cores hold at once, on both sides."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers outlive their tasks, and what one stage
+    held would otherwise stand beside the next one's needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that releases its memory at the end of each task."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
+
+
 #: A graph of at most so many edges is finished by one task, in bounded memory.
 ONE_TASK_EDGES = 300_000
 
@@ -133,7 +186,7 @@ def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
 
 
-def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_rounds: int = 60) -> tuple[DataFrame, str]:
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> tuple[DataFrame, str]:
     """Connected components of an undirected graph.
 
     edges: (a long, b long), staged; repeats and loops allowed. Returns (node long,
@@ -149,12 +202,12 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_round
     spark = edges.sparkSession
     links = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     if links.count() <= one_task_edges:
-        return staged(links.coalesce(1).mapInArrow(_one_task, "node long, root long"), "labels")
+        return staged(links.coalesce(1).mapInArrow(releasing(_one_task), "node long, root long"), "labels")
     # Rows are doubled by explode, not by union: a union of equally partitioned sides may not survive coalescing.
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both, both_path = staged(links.select(ends.alias("e")).select("e.a", "e.b").distinct(), "graph")
     labels, path = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:  # each round brings every node nearer to its root; the last one changes nothing
         # The smallest label in reach of a node's neighbours, offered to the node's root as well.
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         offers = labels.join(seen, labels.node == seen.a).select("node", "root", F.least("root", "near").alias("best"))
@@ -169,4 +222,3 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_round
         if not changed:
             remove(spark, both_path)
             return labels, path
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -44,12 +44,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, lower_ascii
+from lodestone.llm.common import WORD, lower_ascii, release, releasing, small_batches
 
 K1, B = 1.2, 0.75
 SEGMENT, PASSAGE, STRIDE = 64, 128, 64
@@ -285,7 +284,7 @@ def build_indexes(items: DataFrame) -> Iterator[Index]:
 def find_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): a row for each text and item found in it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = None
     for index in build_indexes(items):
         sent = spark.sparkContext.broadcast(index)
@@ -301,25 +300,27 @@ def find_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, kinds, strict=True)], MATCHES.replace(" long", "").replace(" double", "").split(", "))
 
-        part = rows.mapInArrow(run, MATCHES)
+        part = rows.mapInArrow(releasing(run), MATCHES)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
 def _holds(sent):  # noqa: ANN001, ANN202
-    def holds(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(sent.value.matches(words_of(t))) for t in texts], dtype=bool)
+    def holds(texts: pa.Array) -> pa.Array:
+        out = pa.array([bool(sent.value.matches(words_of(t.as_py()))) for t in texts], pa.bool_())
+        release()
+        return out
 
     return holds
 
 
 def flag_contaminated(docs: DataFrame, items: DataFrame, flag: str) -> DataFrame:
     """docs with a boolean column: whether a text holds a test item. Other columns stay as they are."""
-    out = docs.withColumn(flag, F.lit(False))
+    out = small_batches(docs).withColumn(flag, F.lit(False))
     for index in build_indexes(items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        holds = F.pandas_udf(_holds(sent), "boolean")
+        holds = F.arrow_udf(_holds(sent), "boolean")
 
         out = out.withColumn(flag, F.col(flag) | holds(docs["text"]))
     return out

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remove, staged
+from lodestone.llm.common import fresh, remove, staged
 
 LEADING = 4
 MIN_DOCS = 2
@@ -115,12 +115,15 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and more) with n_lines, n_dropped, dropped (positions from 0) and kept_text added."""
+    """docs (doc_id, text and more) with n_lines, n_dropped, dropped (positions from 0) and kept_text, in place of columns
+    of these names; others are carried, whatever their names."""
     drop, _ = recurring_lines(docs.select("doc_id", "text"))
     per_doc = drop.groupBy(F.col("doc").alias("__d"), F.col("doc_id").alias("__d_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    keyed = docs.drop("n_lines", "n_dropped", "dropped", "kept_text").withColumn("__key", _doc_key())
+    rest = docs.drop("n_lines", "n_dropped", "dropped", "kept_text")
+    key, of, of_id = (fresh(rest, c) for c in ("__key", "__d", "__d_id"))
     # The hash and the doc_id together: texts whose hashes meet are told apart unless their ids are equal as well.
-    out = keyed.join(per_doc, (F.col("__key") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__d_id")), "left").drop("__d", "__d_id", "__key")
+    per_doc = per_doc.withColumnsRenamed({"__d": of, "__d_id": of_id})
+    out = rest.withColumn(key, _doc_key()).join(per_doc, (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left").drop(of, of_id, key)
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     split = F.split("text", "\n", -1)
     # An array of one struct carries the lines and the places that stay into the lambda, so that each is computed once.

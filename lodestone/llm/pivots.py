@@ -8,12 +8,14 @@ pivot that two candidates share is among these for both. There the pair's
 shared pivots are counted and its cosine verified, and nowhere else, so each
 pair counts once.
 
-A list is cut into blocks of about BLOCK rows, and each pair of blocks is a task
-of its own; a task reports a number of links and one edge for each vector, not
+A list of more than BLOCK rows is cut by the second pivot that two candidates
+share: its vectors enter a list for each later pivot that can be that one, and a
+pair counts at its first two shared pivots. Lists that are still long are cut into
+blocks of about BLOCK rows, and each pair of blocks is a task of its own; a task reports a number of links and one edge for each vector, not
 the pairs. Equal vectors (with equal labels) are one entry with a count. Blocks
 are never cut short: any list size is worked off whole, in more tasks. Pivots grow
 with the root of the number of vectors up to PIVOT_BYTES (62,500 of 64 dimensions);
-as links are counted, vectors in one list of m meet in m / BLOCK blocks each.
+as links are counted, vectors in one such list of m meet in m / BLOCK blocks each.
 
 Recall against brute force is measured in the tests (0.9 is asked for): on the
 data here it was 1.0.
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import components, remove, staged
+from lodestone.llm.common import components, releasing, remove, staged
 
 COSINE = 0.93
 LISTED, SHARED = 8, 3
@@ -112,12 +114,12 @@ def pivot_lists(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * b.num_rows + 1, k), pa.int32()), pa.array(out.ravel()))
             yield b.append_column("pivots", lists)
 
-    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
+    return classes.mapInArrow(releasing(run), T.StructType([*classes.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
 
 
 def block_links(key: tuple, t: pa.Table) -> pa.Table:
     """Links between the rows of two blocks of one inverted list, or within one block."""
-    pivot, i, j = (key[k].as_py() for k in (2, 3, 4))
+    pivot, second, i, j = (key[k].as_py() for k in (2, 3, 4, 5))
     ids = t.column("class").to_numpy()
     counts = t.column("copies").to_numpy().astype(float)
     side = t.column("block").to_numpy() == i
@@ -128,10 +130,11 @@ def block_links(key: tuple, t: pa.Table) -> pa.Table:
     names, place = np.unique(lists, return_inverse=True)
     own = np.zeros((len(ids), len(names)), np.float32)
     np.put_along_axis(own, place.reshape(lists.shape), 1, axis=1)
-    pivot = int(np.searchsorted(names, pivot))
+    upto = int(np.searchsorted(names, pivot if second < 0 else second))
     left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if i != j else (np.arange(len(ids)),) * 2
     norm = np.linalg.norm(x, axis=1)
-    linked = (own[left] @ own[right].T >= min(SHARED, lists.shape[1])) & (own[left, :pivot] @ own[right, :pivot].T == 0)
+    # No pivot before the list's first, and none between it and the second, is shared: the pair counts here alone.
+    linked = (own[left] @ own[right].T >= min(SHARED, lists.shape[1])) & (own[left, :upto] @ own[right, :upto].T == (second >= 0))
     linked &= x[left] @ x[right].T / np.outer(norm[left], norm[right]) >= COSINE
     if i == j:
         np.fill_diagonal(linked, False)
@@ -170,8 +173,15 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     described, path = staged(pivot_lists(classes.select("class", "label", "copies", "embedding"), pivots), "pivot-lists")
     prefix = min(LISTED, len(pivots)) - min(SHARED, len(pivots)) + 1
-    entries = described.withColumn("dim", F.size("embedding")).withColumn("pivot", F.explode(F.slice(F.array_sort("pivots"), 1, prefix)))
-    key = ["label", "dim", "pivot"]
+    ordered = described.withColumn("dim", F.size("embedding")).withColumn("in_order", F.array_sort("pivots"))
+    firsts = ordered.select("*", F.posexplode(F.slice("in_order", 1, prefix)).alias("nth", "pivot"))
+    first = ["label", "dim", "pivot"]
+    busy = firsts.groupBy(*first).agg(F.count("*").alias("n")).where("n > 1")
+    # In a long list a vector enters for each later pivot that can be the second of SHARED.
+    later = F.slice("in_order", F.col("nth") + 2, F.lit(prefix) - F.col("nth")) if min(SHARED, len(pivots)) > 1 else F.array().cast("array<int>")
+    seconds = F.when((F.col("n") > BLOCK) & (F.size(later) > 0), later).otherwise(F.array(F.lit(-1)))
+    entries = firsts.join(busy, first).withColumn("second", F.explode(seconds)).drop("in_order", "nth", "n")
+    key = [*first, "second"]
     sizes = entries.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     cut = entries.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -181,10 +191,11 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     labels, labels_path = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     named = classes.select("class", "copies", "first_id").join(labels, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named, named_path = staged(named, "named-vectors")
+    smallest, smallest_path = staged(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     result = named.join(smallest, "root").join(counts, "class", "left")
     of_class, _ = staged(result.select("class", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "vector-components")
-    remove(vectors.sparkSession, classes_path, path, found_path, labels_path)
+    remove(vectors.sparkSession, classes_path, path, found_path, labels_path, named_path, smallest_path)
     out = rows.select("vec_id", "class").join(of_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

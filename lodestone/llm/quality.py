@@ -27,11 +27,13 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import fresh, release, small_batches
+
 #: At most so many labelled rows fit the model; each gives a few hundred bytes to the driver.
 MAX_LABELLED = 20_000
 TREES, DEPTH, BINS, RATE = 30, 3, 48, 0.3
@@ -86,13 +88,15 @@ def text_stats(text: str | None) -> tuple[float, ...]:
 _STRUCT = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
 
 
-@F.pandas_udf(_STRUCT)
-def _stats(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS))
+def _stats(texts: pa.Array) -> pa.Array:
+    """The statistics of a batch. One text at a time is a Python string."""
+    rows = np.array([text_stats(t.as_py()) for t in texts]).reshape(-1, len(STATS))
+    release()
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=list(STATS))
 
 
 def stats_column(text: Column) -> Column:
-    return _stats(text)
+    return F.arrow_udf(_stats, _STRUCT)(text)
 
 
 Rule = tuple[tuple[int, float, float], ...]  # (statistic, above, up to): above < x <= up to
@@ -258,7 +262,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
     # MAX_LABELLED rows of three numbers: under 1 MB, whatever the corpus. One document stands for each doc_id, so that
     # no more rows than these reach the driver, however often an id repeats.
     wanted = F.broadcast(sample.select(F.col("__id").alias("__doc")).distinct())
-    texts = docs.select(docs["doc_id"].alias("__doc"), docs["text"].alias("__text")).join(wanted, "__doc", "left_semi")
+    texts = small_batches(docs).select(docs["doc_id"].alias("__doc"), docs["text"].alias("__text")).join(wanted, "__doc", "left_semi")
     one = texts.groupBy("__doc").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("text")))["text"].alias("__text"))
     rows = one.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__h", "__id", "__y", stats_column(F.col("__text")).alias("s"))
     rows = rows.select("__h", "__id", "__y", "s.*").toPandas().sort_values(["__h", "__id", "__y"])
@@ -266,8 +270,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text: str = "text", score: str = "score") -> DataFrame:
-    """Adds the score column to docs; other columns stay as they are."""
-    return docs.withColumn("__stats", stats_column(docs[text])).withColumn(score, model.score(F.col("__stats"))).drop("__stats")
+    """Adds the score column to docs; other columns stay as they are, whatever their names."""
+    stats = fresh(docs, "__stats")
+    return small_batches(docs).withColumn(stats, stats_column(docs[text])).withColumn(score, model.score(F.col(stats))).drop(stats)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import small_batches
+
 # The base patterns, whose letters are ASCII in either case for the first only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that starts at its first AKIA; 20 characters at least
@@ -164,4 +166,4 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "parts"],
             )
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(scan, SCHEMA)
+    return small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(scan, SCHEMA)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, components, discarding, remove, scratch_path, scratch_table, staged
+from lodestone.llm.common import WORD, components, discarding, releasing, remove, scratch_path, scratch_table, small_batches, staged
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -64,7 +64,8 @@ KEEP_ESTIMATE = 0.6
 SURE_APART, SURE_NEAR = 0.45, 0.7
 #: Groups of so many rows are compared by offset; larger ones as a matrix.
 SMALL_GROUP = 16
-BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 512
+#: Rows of a block. A pair of blocks of clusters is two such numbers of whole texts, held by one task.
+BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
 REPRESENTATIVES = 4
 CHUNK = 2048
 
@@ -168,11 +169,11 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 sketches.append(registers(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n_shingles", "class_key", "sketch"])
 
-    return _rows(docs).mapInArrow(run, SKETCHED)
+    return _rows(docs).mapInArrow(releasing(run), SKETCHED)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -323,13 +324,16 @@ def forest(entries: DataFrame, groups: DataFrame, payload: DataFrame, key: str,
         more = [c for c in payload.columns if c != "class"]
         cut = rows.join(named, F.col("class") == F.col("c")).select(key, "class", *more, F.explode(places).alias("at"))
         cut = cut.select(key, "at.i", "at.j", "at.side", "class", *more).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
-        return staged(cut.mapInArrow(find, "a long, b long").distinct(), "forest")[0]
+        return staged(cut.mapInArrow(releasing(find), "a long, b long").distinct(), "forest")[0]
 
     if large.isEmpty():
         return compared(entries.join(of, F.col(key) == F.col("g")), F.array(place(F.lit(0), F.lit(0), BOTH)))
-    # The representatives are those with the least of several hashes, so that no group is sorted.
-    least = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class")))["class"] for k in range(REPRESENTATIVES)]
-    chosen = entries.join(large, F.col(key) == F.col("g")).groupBy("g").agg(F.array(*least).alias("reps"))
+    # The representatives are those with the least of several hashes, so that no group is sorted, and the least of a large
+    # group are found in as many tasks as it has blocks.
+    hashed = [F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class")).alias(f"r{k}") for k in range(REPRESENTATIVES)]
+    dealt = entries.join(large, F.col(key) == F.col("g")).select("g", own(F.col("blocks")).alias("b"), *hashed).repartition("g", "b")
+    least = dealt.groupBy("g", "b").agg(*[F.min(f"r{k}").alias(f"r{k}") for k in range(REPRESENTATIVES)])
+    chosen = least.groupBy("g").agg(F.array(*[F.min(f"r{k}")["class"] for k in range(REPRESENTATIVES)]).alias("reps"))
     of, _ = staged(of.join(chosen, "g", "left"), "groups")
     as_right = F.array(place(F.lit(0), own(F.col("blocks")), RIGHT))
     as_left = F.when(F.array_contains("reps", F.col("class")), F.transform(upto(F.col("blocks")), lambda j: place(F.lit(0), j, LEFT))).otherwise(none)
@@ -390,10 +394,15 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = F.when(F.col("class_key").isNotNull(), F.xxhash64("class_key")).alias("class")
     rows, _ = staged(sketched.select("doc_id", "text_hash", "n_shingles", number), "rows")
     labels = link_classes(classes, docs)
-    ids = classes.select("class", "first_id").join(labels, F.col("class") == F.col("node"), "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
-    smallest = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class, _ = staged(ids.join(smallest, "root").select("class", "root", "component_id"), "class-components")
-    remove(docs.sparkSession, sketched_path, classes_path)
+    ids = classes.select("class", "first_id")
+    linked = labels.join(ids.withColumnRenamed("class", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Staged, so that both sides of the join on the root are plain shuffles, which Spark can split where a root is frequent.
+    smallest, smallest_path = staged(linked, "smallest")
+    named = labels.join(smallest, "root").select("node", "root", "component_id")
+    alone = F.col("node").isNull()
+    both = ids.join(named, F.col("class") == F.col("node"), "left")
+    of_class, _ = staged(both.select("class", F.coalesce("root", "class").alias("root"), F.when(alone, F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")), "class-components")
+    remove(docs.sparkSession, sketched_path, classes_path, smallest_path)
     return rows, of_class
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch_path, staged
+from lodestone.llm.common import releasing, scratch_path, small_batches, staged
 
 END_ID = 1
 SEQUENCE = 2048
 BATCH = 128
 #: Texts are encoded so many bytes at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: A worker remembers the ids of pieces up to about this many bytes.
 CACHE_BYTES = 24_000_000
 
@@ -82,40 +82,40 @@ def splits_on_white_space(tokenizer) -> bool:  # noqa: ANN001
 
 
 class Remembered:
-    """Ids, as bytes, of the pieces met last. Holds about CACHE_BYTES: when the younger half is full it becomes the older
-    half, and what nothing asked for meanwhile is forgotten."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.weight = 0
-
-    def find(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The value of each key (keys are distinct), made where it is not remembered."""
-        found = list(map(self.young.get, keys))
-        for i in [i for i, v in enumerate(found) if v is None]:
-            found[i] = self.old.get(keys[i])
-            if found[i] is not None:
-                self._keep(keys[i], found[i])
-        missing = [i for i, v in enumerate(found) if v is None]
-        for i, v in zip(missing, make([keys[i] for i in missing]), strict=True):
-            found[i] = v
-            self._keep(keys[i], v)
-        return found
-
-    def _keep(self, key: str, value: bytes) -> None:
-        # A string and a bytes object each weigh some 50 bytes beside what they hold, their place some 100.
-        weight = 200 + 2 * len(key) + len(value)
-        if self.weight + weight > CACHE_BYTES / 2:
-            self.young, self.old, self.weight = {}, self.young, 0
-        self.young[key] = value
-        self.weight += weight
+    """Ids of pieces in arrays: the pieces, the ids of all in a row, the number of each. Beyond CACHE_BYTES only what the
+    last slice used is kept."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, dtype), np.zeros(0, np.int32)
+
+    @property
+    def weight(self) -> int:
+        return self.keys.nbytes + self.ids.nbytes + self.sizes.nbytes
+
+    def find(self, keys: pa.Array, make: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids in a row, number of ids of each entry, the entry of each key) of distinct keys; those not known are made."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(pc.is_null(at))
+        lists = make(new.to_pylist())
+        known = len(self.keys)
+        entry = pc.fill_null(at, -1).to_numpy().copy()
+        entry[entry < 0] = known + np.arange(len(new))
+        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), self.ids.dtype)])
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, lists), np.int32, len(lists))])
+        self.keys, self.ids, self.sizes = pa.concat_arrays([self.keys, new]), ids, sizes
+        if self.weight > CACHE_BYTES:
+            used = np.unique(entry)
+            self.keys = self.keys.take(pa.array(used))
+            self.ids, self.sizes = ids[_runs((np.cumsum(sizes) - sizes)[used], sizes[used])], sizes[used]
+        return ids, sizes, entry
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The positions first[i], first[i] + 1, ... of size[i] each, in a row."""
+    """The positions first[i], first[i] + 1, ... of size[i] each, in a row. Those of one slice fit into 32 bits."""
     ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat((first - (ends - size)).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class Encoder:
@@ -134,30 +134,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_word = splits_on_white_space(self.tokenizer)
-        self.pieces, self.others = Remembered(), Remembered()
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else np.uint32)
+        self.pieces, self.others = Remembered(self.dtype), Remembered(self.dtype)
 
-    def _packed(self, lists: list[list[int]]) -> list[bytes]:
-        data = np.fromiter(chain.from_iterable(lists), self.dtype).tobytes()
-        ends = (np.cumsum([0, *map(len, lists)]) * self.dtype.itemsize).tolist()
-        return [data[a:b] for a, b in pairwise(ends)]
-
-    def _pieces(self, found: list[str]) -> list[bytes]:
+    def _pieces(self, found: list[str]) -> list[list[int]]:
         """Ids of lower-case letters or of marks, by the BPE alone."""
         byte_char, bpe = _BYTE_CHARS.__getitem__, self.model.tokenize
         mapped = (s if s.isascii() else "".join(map(byte_char, s.encode())) for s in found)
-        return self._packed([[t.id for t in bpe(s)] if s else [] for s in mapped])
+        return [[t.id for t in bpe(s)] if s else [] for s in mapped]
 
-    def _words(self, found: list[str]) -> list[bytes]:
+    def _words(self, found: list[str]) -> list[list[int]]:
         """Ids of any words, by the whole pipeline."""
-        return self._packed([self.tokenizer.encode(w, add_special_tokens=False).ids for w in found])
+        return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in found]
 
-    def _table(self, values: pa.Array, held: Remembered, make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(all ids of the distinct values in a row, the number of ids of each, the place of each value among them)."""
+    def _table(self, values: pa.Array, held: Remembered, make: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the entries in a row, the number of ids of each entry, the entry of each value)."""
         coded = values.dictionary_encode()
-        lists = held.find(coded.dictionary.to_pylist(), make)
-        size = np.fromiter(map(len, lists), np.int64, len(lists)) // self.dtype.itemsize
-        return np.frombuffer(b"".join(lists), self.dtype), size, coded.indices.to_numpy()
+        ids, sizes, entry = held.find(coded.dictionary, make)
+        return ids, sizes, entry[coded.indices.to_numpy()]
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in a row, the number of ids of each)."""
@@ -306,11 +300,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], end_i
             )
 
     # Equal rows are told apart by their place, so that a row repeated without end does not fill one range.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # A row for each shard: one file holds them.
-    return staged(ordered.mapInArrow(write, MANIFEST).repartition(1), "token-manifest")[0]
+    return staged(ordered.mapInArrow(releasing(write), MANIFEST).repartition(1), "token-manifest")[0]
 
 
 def sequence_at(shard: pa.ipc.RecordBatchFileReader, i: int) -> tuple[pa.Array, pa.Array]:
@@ -363,4 +357,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.select("path", "index_path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("base"))
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return based.repartition(n).mapInArrow(read, READ)
+    return based.repartition(n).mapInArrow(releasing(read), READ)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch_path, staged
+from lodestone.llm.common import releasing, scratch_path, small_batches, staged
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_FRAME = b"\x28\xb5\x2f\xfd"
@@ -53,7 +53,7 @@ RECORDS = (
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, digest, response_id, response_url): the page and url that a record revisits, null for responses."""
-    base = pages.select(
+    base = small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url"), F.lit("")).alias("url"),
         F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"),
@@ -254,7 +254,7 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [os.path.join(folder, name)], "records": pa.array([n], pa.int64()), "bytes": pa.array([writer.written], pa.int64())})
 
     # A row for each task: one file holds them.
-    manifest, _ = staged(plan_records(pages).mapInArrow(write, MANIFEST).repartition(1), "warc-manifest")
+    manifest, _ = staged(plan_records(pages).mapInArrow(releasing(write), MANIFEST).repartition(1), "warc-manifest")
     return manifest
 
 
@@ -282,4 +282,4 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     spark = manifest.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return manifest.select("path").repartition(n).mapInArrow(read, RECORDS)
+    return manifest.select("path").repartition(n).mapInArrow(releasing(read), RECORDS)

@@ -55,6 +55,36 @@ def test_components(spark, one_task):
     assert got == {x: u.find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_of_a_large_graph_by_rounds(spark):
+    """Random parts, long chains in shuffled order and hubs, by the distributed rounds."""
+    rng = random.Random(2)
+    order = rng.sample(range(100_000, 104_000), 4000)
+    edges = [(rng.randrange(20_000), rng.randrange(20_000)) for _ in range(14_000)] + list(zip(order, order[1:], strict=False)) + [(200_000, 200_000 + i) for i in range(1, 5000)]
+    u = Union()
+    for a, b in edges:
+        u.join(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), 0)[0].collect()}
+    assert got == {x: u.find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from lodestone.llm.common import discarding, shared_dir, staged
+
+    made = lambda: set(os.listdir(f"{shared_dir(spark).removeprefix('file://')}/lodestone"))
+    staged(spark.range(1), "first")
+    before = made()
+    with discarding(spark):
+        setsketch.near_duplicates(docs(spark, near_rows(8, 2, 5))).collect()
+        mixing.mix(docs(spark, [(1, "a b c")])).collect()
+    assert made() == before
+    with pytest.raises(ZeroDivisionError), discarding(spark):
+        staged(spark.range(1), "second")
+        1 / 0
+    assert made() == before
+
+
 # 1 token files
 
 
@@ -102,7 +132,8 @@ def test_word_by_word_encoding_equals_the_library(monkeypatch):
         ids, sizes = enc.encode(pa.array([*texts, None]))
         want = [t.encode(x, add_special_tokens=False).ids for x in texts]
         assert sizes.tolist() == [*map(len, want), 0] and ids.tolist() == [i for x in want for i in x]
-    assert enc.pieces.weight <= 20_000 and len(enc.pieces.old)
+    known = enc.pieces.keys.to_pylist()
+    assert 0 < enc.pieces.weight <= 40_000 and len(set(known)) == len(known) and int(enc.pieces.sizes.sum()) == len(enc.pieces.ids)
 
 
 def test_token_shards_give_random_access(spark):
@@ -166,9 +197,38 @@ def test_warc_round_trip(spark):
         assert r.payload_bytes == len(body) and r.payload_digest == hashlib.sha1(body).hexdigest()
         assert (r.record_type, r.refers_to) == (("revisit", 2) if r.page_id in (1, None) else ("response", None))
         assert (r.payload is None) == (r.record_type == "revisit") and (r.payload is None or bytes(r.payload) == body)
+    ids = [(r.page_id, r.target_uri, r.payload_digest, r.record_id) for r in got]
+    assert len({i[3] for i in ids}) == len({i[:3] for i in ids}) == len(rows)
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_folder_and_references(spark, tmp_path):
+    body = "<p>same</p>" * 200
+    pages = spark.createDataFrame([(i, f"http://h/{i}", body) for i in range(40)] + [(39, "http://h/again", body)] * 2 + [(None, "http://h/none", "x")] * 2, "page_id long, url string, html string")
+    manifest = warc.write_warc(pages.repartition(3), str(tmp_path / "out"))
+    assert all(r.path.startswith(str(tmp_path / "out")) for r in manifest.collect())
+    raw = []
+    for r in manifest.collect():
+        with open(r.path, "rb") as f:
+            raw += list(warc.read_archive(f))
+    assert len(raw) == 44 and sum(r["record_type"] == "revisit" for r in raw) == 39
+    assert {r["refers_to"] for r in raw} == {39, None}
+
+
+def test_warc_reads_a_compressed_dictionary():
+    import io
+    import struct
+
+    import zstandard
+
+    records = [warc.record_bytes(i, f"http://h/{i}", b"some payload %d" % i * 50, hashlib.sha1(b"some payload %d" % i * 50).hexdigest()) for i in range(300)]
+    words = warc.train_dictionary(records)
+    packed = zstandard.ZstdCompressor().compress(words)
+    pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words))
+    archive = struct.pack("<II", warc.SKIPPABLE, len(packed)) + packed + b"".join(map(pack.compress, records))
+    assert [r["page_id"] for r in warc.read_archive(io.BytesIO(archive))] == list(range(300))
+
+
 def test_warc_damage_is_noticed():
     import io
 
@@ -698,12 +758,38 @@ def test_sharded_index_counts_over_all_items(spark, monkeypatch):
     assert len(one) >= 20 and [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2:] for r in one], [r[2:] for r in many])
 
 
+def test_an_item_that_repeats_without_end_is_indexed_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 4000)
+    text = "one item text that stands here very often indeed"
+    items = spark.range(20_000).select(F.lit(5).alias("item_id"), F.lit(text).alias("text"))
+    indexes = list(decontaminate.build_indexes(items))
+    assert len(indexes) == 1 and [x[2] for x in indexes[0].items] == [20_000]
+    assert decontaminate.find_matches(docs(spark, [(1, f"before {text} after"), (2, "other")]), items.limit(7)).count() == 7
+
+
+def test_very_long_texts(spark):
+    """A text of millions of words beside others, whole: what stands at its end counts."""
+    rng = random.Random(36)
+    long = " ".join(f"l{i % 70_000}" for i in range(400_000))
+    item = words(rng, 60, 5000)
+    rows = [(1, f"{long} {item}"), (2, f"{long}\nthe last line of it"), (3, f"{long} {item}"), (4, "a short text of some words\nthe last line of it")]
+    assert {r.doc_id for r in decontaminate.find_matches(docs(spark, rows), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()} == {1, 3}
+    got = {r.doc_id: r for r in setsketch.near_duplicates(docs(spark, rows)).collect()}
+    assert (got[3].component_id, got[3].kept) == (1, False) and got[1].n_shingles == 70_000 + 60 and got[4].kept
+    got = {r.doc_id: list(r.dropped) for r in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [0], 4: [1]}
+    got = {r.doc_id: r for r in mixing.mix(docs(spark, rows)).collect()}
+    assert got[1].size == 400_060 and all(r.taken <= 2 * r.size for r in got.values())
+    mixed = mixing.mixed_documents(docs(spark, rows)).agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert mixed == sum(r.taken for r in got.values())
+
+
 def test_block_max_wand_equals_full_scoring():
     from collections import Counter
 
     rng = random.Random(13)
-    items = [(i, words(rng, rng.randrange(5, 200), 150).encode().split()) for i in range(120)]
-    cuts = [c for _, w in items for c in decontaminate.segments(w)]
+    items = [(i, words(rng, rng.randrange(5, 200), 150).encode().split(), 1) for i in range(120)]
+    cuts = [c for _, w, _ in items for c in decontaminate.segments(w)]
     index = decontaminate.Index(items, Counter(t for c in cuts for t in set(c)), len(cuts), sum(map(len, cuts)) / len(cuts))
     for _ in range(60):
         q = words(rng, 100, 150).encode().split()
