@@ -36,7 +36,7 @@ END_ID = 1
 SEQUENCE = 2048
 BATCH = 128
 #: Texts are encoded so many bytes at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 8_000_000
 #: A worker remembers the ids of pieces up to about this many bytes.
 CACHE_BYTES = 24_000_000
 
@@ -199,17 +199,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of about SLICE_BYTES; a longer text is a slice of its own."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    at = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
-            yield at, texts.slice(at, i - at)
-            at, held = i, 0
-        held += n
-    if at < len(sizes):
-        yield at, texts.slice(at)
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of about SLICE_BYTES, over the bounds of batches; a longer text is a slice of its own."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        for i, n in enumerate(size):
+            if held and held + n > SLICE_BYTES:
+                ids.append(b.column(0).slice(at, i - at))
+                texts.append(b.column(1).slice(at, i - at))
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, held, at = [], [], 0, i
+            held += n
+        ids.append(b.column(0).slice(at))
+        texts.append(b.column(1).slice(at))
+    if sum(map(len, ids)):
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
 
 
 def shard_schema(dtype: np.dtype) -> pa.Schema:
@@ -283,15 +289,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | Callable[[], str], end_i
         enc = encoder(tokenizer_path() if callable(tokenizer_path) else tokenizer_path)
         shard = None
         name = f"{uuid.uuid4().hex}.arrow"
-        for b in batches:
-            for at, texts in text_slices(b.column(1)):
-                if shard is None:
-                    store, root = fs.FileSystem.from_uri(folder)
-                    store.create_dir(root, recursive=True)
-                    shard = ShardWriter(store, f"{root}/{name}", enc.dtype)
-                ids, sizes = enc.encode(texts)
-                ends = np.cumsum(sizes)
-                shard.add(b.column(0).slice(at, len(texts)), np.insert(ids, ends, end_id), sizes + 1)
+        for doc_ids, texts in text_slices(batches):
+            if shard is None:
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(root, recursive=True)
+                shard = ShardWriter(store, f"{root}/{name}", enc.dtype)
+            ids, sizes = enc.encode(texts)
+            ends = np.cumsum(sizes)
+            shard.add(doc_ids, np.insert(ids, ends, end_id), sizes + 1)
         if shard is not None:
             shard.close()
             path = f"{folder}/{name}"

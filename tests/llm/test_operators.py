@@ -115,6 +115,19 @@ def test_many_equal_rows_are_dealt_to_several_shards(spark):
     assert sorted(r.start for r in got.collect()) == list(range(0, 40_000 * n, n))
 
 
+def test_slices_span_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 10)
+    texts = ["abc", None, "d" * 25, "", "efgh", "ij", "klmnop", "q"]
+    for per in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + per, 8))), pa.array(texts[i : i + per], pa.string())], ["doc_id", "text"]) for i in range(0, 8, per)]
+        got = [(i.to_pylist(), t.to_pylist()) for i, t in token_files.text_slices(iter(batches))]
+        assert [x for i, _ in got for x in i] == list(range(8)) and [x for _, t in got for x in t] == texts
+        assert all(sum(len(x or "") for x in t) <= 10 or sum(bool(x) for x in t) == 1 for _, t in got)
+    assert list(token_files.text_slices(iter([]))) == []
+
+
 def test_word_by_word_encoding_equals_the_library(monkeypatch):
     import pyarrow as pa
     from tokenizers import Tokenizer
