@@ -8,9 +8,10 @@ pivot that two candidates share is among these for both. There the pair's
 shared pivots are counted and its cosine verified, and nowhere else, so each
 pair counts once.
 
-A list of more than BLOCK rows is cut by the second pivot that two candidates
+A list of more than LONG blocks is cut by the second pivot that two candidates
 share: its vectors enter a list for each later pivot that can be that one, and a
-pair counts at its first two shared pivots. Lists that are still long are cut into
+pair counts at its first two shared pivots. In a shorter list the pairs of blocks
+copy a vector no more often than that would. Lists of several blocks are cut into
 blocks of about BLOCK rows, and each pair of blocks is a task of its own; a task reports a number of links and one edge for each vector, not
 the pairs. Equal vectors (with equal labels) are one entry with a count. Blocks
 are never cut short: any list size is worked off whole, in more tasks. Pivots grow
@@ -49,6 +50,8 @@ MIN_PIVOTS = 64
 #: The pivots are sent to every task; this bounds their size (as single floats) and with it their number.
 PIVOT_BYTES = 16_000_000
 BLOCK = 768
+#: Blocks from which on a list is cut by a second pivot.
+LONG = 8
 
 TASK = "class long, links long, root long"
 
@@ -173,20 +176,22 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     described, path = staged(pivot_lists(classes.select("class", "label", "copies", "embedding"), pivots), "pivot-lists")
     prefix = min(LISTED, len(pivots)) - min(SHARED, len(pivots)) + 1
-    ordered = described.withColumn("dim", F.size("embedding")).withColumn("in_order", F.array_sort("pivots"))
+    # Places in lists are found without the vectors, which are joined when each row knows its blocks.
+    ordered = described.select("class", "label", F.size("embedding").alias("dim"), F.array_sort("pivots").alias("in_order"))
     firsts = ordered.select("*", F.posexplode(F.slice("in_order", 1, prefix)).alias("nth", "pivot"))
     first = ["label", "dim", "pivot"]
     busy = firsts.groupBy(*first).agg(F.count("*").alias("n")).where("n > 1")
     # In a long list a vector enters for each later pivot that can be the second of SHARED.
     later = F.slice("in_order", F.col("nth") + 2, F.lit(prefix) - F.col("nth")) if min(SHARED, len(pivots)) > 1 else F.array().cast("array<int>")
-    seconds = F.when((F.col("n") > BLOCK) & (F.size(later) > 0), later).otherwise(F.array(F.lit(-1)))
+    seconds = F.when((F.col("n") > LONG * BLOCK) & (F.size(later) > 0), later).otherwise(F.array(F.lit(-1)))
     entries = firsts.join(busy, first).withColumn("second", F.explode(seconds)).drop("in_order", "nth", "n")
     key = [*first, "second"]
     sizes = entries.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     cut = entries.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = cut.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    linked = paired.select(*key, "i", "j", "block", "class", "copies", "embedding", "pivots").groupBy(*key, "i", "j").applyInArrow(block_links, TASK)
+    vectors_of = described.select(F.col("class").alias("c"), "copies", "embedding", "pivots")
+    linked = paired.join(vectors_of, F.col("class") == F.col("c")).select(*key, "i", "j", "block", "class", "copies", "embedding", "pivots").groupBy(*key, "i", "j").applyInArrow(block_links, TASK)
     found, found_path = staged(linked, "vector-links")
     labels, labels_path = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))

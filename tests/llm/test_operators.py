@@ -325,8 +325,10 @@ def test_a_million_listed_keys(spark):
 # 5 vectors
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("long", [1, 8])
+def test_vectors_equal_brute_force(spark, monkeypatch, long):
     monkeypatch.setattr(pivots, "BLOCK", 40)
+    monkeypatch.setattr(pivots, "LONG", long)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(150, 16))
     near = np.concatenate([base[:1] + rng.normal(size=(120, 16)) * 0.12, base[:30] + rng.normal(size=(30, 16)) * 0.1, base[:5], base[:5] * 2.0])
